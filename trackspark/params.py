@@ -92,6 +92,12 @@ class CleanParams:
             math.degrees(math.asin(math.sin(angle) / math.cos(phi))) + slack,
         )
 
+    def box_holds_valid_coordinates_only(self) -> bool:
+        """Whether every point of the box is a valid coordinate and not (0, 0)."""
+        height, width = self.half_box()
+        on_earth = abs(self.centre_lat) + height <= 90 and abs(self.centre_lon) + width <= 180
+        return on_earth and not (abs(self.centre_lat) <= height and abs(self.centre_lon) <= width)
+
 
 @dataclass(frozen=True)
 class ProximityParams:

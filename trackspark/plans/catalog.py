@@ -22,6 +22,8 @@ EXACT = ProximityParams(time_mode="exact")
 TRANSIENT = EventParams(max_obs=5)
 PAIR_KEY = ["mmsi1", "mmsi2", "ts1", "ts2"]
 
+_DIGITS = {"dist_m": 3, "min_distance_m": 3, "dist_km": 6}
+
 _QUERIES: dict[str, Query] = {}
 
 
@@ -32,7 +34,7 @@ def _presentable(df: DataFrame) -> DataFrame:
         if kind.startswith("timestamp"):
             return F.date_format(column, "yyyy-MM-dd HH:mm:ss").alias(name)
         if kind == "double":
-            return F.round(column, 3 if name in ("dist_m", "min_distance_m") else 8).alias(name)
+            return F.round(column, _DIGITS.get(name, 8)).alias(name)
         return column
     return df.select(*[show(n, k) for n, k in df.dtypes])
 

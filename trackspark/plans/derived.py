@@ -15,6 +15,7 @@ plant noise; none leaves rows out.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trackspark.operators.dedupe import dedupe_fixes
 
@@ -22,13 +23,11 @@ SPARK_SLOTS = {
     "EPOCH": "unix_timestamp(ts)",
     "AS_TS": "timestamp_seconds(tsec)",
     "TS_TEXT": "date_format(timestamp_seconds(tsec), 'dd/MM/yyyy HH:mm:ss')",
-    "COPIES": "explode(sequence(1, CASE WHEN event_id % 5 = 0 THEN 2 ELSE 1 END))",
 }
 DUCKDB_SLOTS = {
     "EPOCH": "CAST(floor(epoch(ts)) AS BIGINT)",
     "AS_TS": "make_timestamp(tsec * 1000000)",
     "TS_TEXT": "strftime(make_timestamp(tsec * 1000000), '%d/%m/%Y %H:%M:%S')",
-    "COPIES": "unnest(generate_series(1, CASE WHEN event_id % 5 = 0 THEN 2 ELSE 1 END))",
 }
 
 _EVENTS = [
@@ -73,12 +72,12 @@ _REPORTS = [
     # 56.0573/14.245 lies in the circle but not in the box, 55.95/15.6 the other way round.
     "CASE WHEN event_id % 97 = 0 THEN 'abc' WHEN event_id % 89 = 0 THEN '0.0' WHEN event_id % 83 = 0 THEN '95.0'"
     " WHEN event_id % 13 = 5 THEN '56.0573' WHEN event_id % 11 = 4 THEN '57.5' WHEN event_id % 17 = 6 THEN '55.95'"
-    " ELSE CAST(CAST(lat_u / 1000000e0 AS DECIMAL(9,6)) AS STRING) END AS Latitude",
+    " ELSE CAST(lat_u / 1000000e0 AS STRING) END AS Latitude",
     "CASE WHEN event_id % 89 = 0 THEN '0.0' WHEN event_id % 13 = 5 THEN '14.245' WHEN event_id % 17 = 6 THEN '15.6'"
-    " ELSE CAST(CAST(lon_u / 1000000e0 AS DECIMAL(9,6)) AS STRING) END AS Longitude",
+    " ELSE CAST(lon_u / 1000000e0 AS STRING) END AS Longitude",
     "CASE WHEN event_id % 79 = 0 THEN NULL WHEN event_id % 73 = 0 THEN '102.3'"
-    " ELSE CAST(CAST((vc % 250) / 10e0 AS DECIMAL(6,1)) AS STRING) END AS SOG",
-    "CAST(CAST((vc % 3600) / 10e0 AS DECIMAL(6,1)) AS STRING) AS COG",
+    " ELSE CAST((vc % 250) / 10e0 AS STRING) END AS SOG",
+    "CAST((vc % 3600) / 10e0 AS STRING) AS COG",
     "CASE WHEN event_id % 3 = 0 THEN 'Unknown' ELSE CAST(vc % 360 AS STRING) END AS Heading",
     "CASE WHEN event_id % 67 = 0 THEN NULL WHEN event_type = 'signup' AND event_id % 4 = 0 THEN 'Moored'"
     " WHEN event_type = 'error' AND event_id % 4 = 0 THEN 'At anchor'"
@@ -92,6 +91,9 @@ REPORT_COLUMNS = (
 )
 
 
+_COPIES = "CASE WHEN event_id % 5 = 0 THEN 2 ELSE 1 END"
+
+
 def _fill(columns: list[str], slots: dict[str, str]) -> list[str]:
     return [c.format(**slots) for c in columns]
 
@@ -112,9 +114,13 @@ def unique_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Noisy text reports with ``event_id``; every fifth one comes twice."""
-    once = _placed(spark, sf_dir).selectExpr(*_fill(_REPORTS, SPARK_SLOTS))
-    return once.selectExpr("*", f"{SPARK_SLOTS['COPIES']} AS copy").select(*REPORT_COLUMNS)
+    """Noisy text reports with ``event_id``; every fifth one comes twice.
+
+    The generator emits whole rows, so filters above it read finished columns
+    instead of repeating the expressions that build them.
+    """
+    report = F.struct(*[F.expr(c) for c in _fill(_REPORTS, SPARK_SLOTS)])
+    return _placed(spark, sf_dir).select(F.inline(F.array_repeat(report, F.expr(_COPIES))))
 
 
 def _select(columns: list[str], source: str) -> str:
@@ -128,6 +134,6 @@ def duckdb_ctes() -> dict[str, str]:
         "placed": _select(_PLACED, "ev"),
         "fixes": _select(_FIXES, "placed"),
         "noisy": _select(_REPORTS, "placed"),
-        "copied": f"SELECT *, {DUCKDB_SLOTS['COPIES']} AS copy FROM noisy",
+        "copied": f"SELECT *, unnest(generate_series(1, {_COPIES})) AS copy FROM noisy",
         "reports": f"SELECT {', '.join(REPORT_COLUMNS)} FROM copied",
     }

@@ -191,7 +191,7 @@ def _bodies() -> dict[str, str]:
         "trig_functions": """SELECT event_id, round(radians(lat), 8) AS rad, round(sin(radians(lat)), 8) AS sine,
   round(cos(radians(lat)), 8) AS cosine, round(asin(sin(radians(lat))), 8) AS arcsine,
   round(sqrt(lat), 8) AS root, round(pow(sin(radians(lat)), 2), 8) AS square FROM fixes""",
-        "haversine_to_point": f"SELECT event_id, round({_KM}, 8) AS dist_km FROM fixes",
+        "haversine_to_point": f"SELECT event_id, round({_KM}, 6) AS dist_km FROM fixes",
         "haversine_pair": "SELECT event_id, round("
         + _haversine("lat", "lon", "lat + sog / 1000", "lon - cog / 1000", "12742000e0") + ", 3) AS dist_m FROM fixes",
         "time_bucket": "SELECT event_id, CAST(floor(epoch(ts) / 60) AS BIGINT) AS time_bucket FROM fixes",
