@@ -33,6 +33,8 @@ def _presentable(df: DataFrame) -> DataFrame:
         column = F.col(name)
         if kind.startswith("timestamp"):
             return F.date_format(column, "yyyy-MM-dd HH:mm:ss").alias(name)
+        if kind == "date":
+            return column.cast("string").alias(name)
         if kind == "double":
             return F.round(column, _DIGITS.get(name, 8)).alias(name)
         return column
@@ -97,8 +99,7 @@ def canonical_fixes(spark, d):
 
 @query
 def fixes_per_day(spark, d):
-    day = F.date_format("ts", "yyyy-MM-dd").alias("day")
-    return cleaned_unique(spark, d).groupBy(day).agg(F.count("*").alias("n"))
+    return clean.fixes_per_day(cleaned_unique(spark, d))
 
 
 @query
