@@ -37,7 +37,7 @@ _EVENTS = [
     "{EPOCH} AS epoch",
 ]
 _PLACED = [
-    "event_id", "user_id", "event_type", "vc", "user_id % 40 AS v",
+    "event_id", "user_id", "event_type", "vc", "user_id % 40 AS v", "user_id % 40 + 40 * (event_id % 2) AS w",
     # 31 days x 15,694 places x 10 times of day before two fleets meet.
     "1638316800 + (fleet % 31) * 86400 + (CAST(floor(fleet / 486514e0) AS BIGINT) % 10) * 8640"
     " + CAST(floor((epoch - 1704067200) / 300e0) AS BIGINT) AS tsec",
@@ -45,16 +45,14 @@ _PLACED = [
     "13450000 + (CAST(floor((fleet % 15694) / 118e0) AS BIGINT)) * 12000"
     " + (vc * 104729 + user_id * 17 + event_id * 7351) % 6000 AS lon_u",
 ]
+# Vessel 3 of each 40 has no name at all, others have one in their odd reports.
 _NAME = (
-    "CASE WHEN v = 0 THEN 'Pilot 213 SE' WHEN v = 1 THEN 'KBV 302' WHEN v = 2 THEN 'CAESAR'"
-    " WHEN v = 3 THEN NULL WHEN v IN (4, 5) AND event_id % 2 = 0 THEN 'Unknown'"
-    " WHEN v = 6 AND event_id % 2 = 0 THEN '' WHEN v = 9 AND event_id % 3 = 0 THEN ' None '"
-    " WHEN v IN (10, 11) AND event_id % 3 = 0 THEN concat('OLD ', CAST(v AS STRING))"
-    " ELSE concat('VESSEL ', CAST(user_id AS STRING)) END"
+    "CASE w WHEN 0 THEN 'Pilot 213 SE' WHEN 1 THEN 'KBV 302' WHEN 2 THEN 'CAESAR'"
+    " WHEN 3 THEN NULL WHEN 43 THEN 'Unknown' WHEN 4 THEN 'Unknown' WHEN 6 THEN ''"
+    " WHEN 9 THEN ' None ' ELSE concat('VESSEL ', CAST(user_id AS STRING)) END"
 )
 _SHIP_TYPE = (
-    "CASE WHEN v = 7 THEN 'Tug' WHEN v = 8 THEN 'Port tender' WHEN v = 12 THEN 'tug'"
-    " WHEN v % 5 = 0 THEN NULL ELSE 'Cargo' END"
+    "CASE v WHEN 7 THEN 'Tug' WHEN 8 THEN 'Port tender' WHEN 12 THEN 'tug' WHEN 15 THEN NULL ELSE 'Cargo' END"
 )
 _FIXES = [
     "event_id", "219000000 + user_id AS mmsi", "{AS_TS} AS ts",
@@ -79,10 +77,9 @@ _REPORTS = [
     " ELSE CAST((vc % 250) / 10e0 AS STRING) END AS SOG",
     "CAST((vc % 3600) / 10e0 AS STRING) AS COG",
     "CASE WHEN event_id % 3 = 0 THEN 'Unknown' ELSE CAST(vc % 360 AS STRING) END AS Heading",
-    "CASE WHEN event_id % 67 = 0 THEN NULL WHEN event_type = 'signup' AND event_id % 4 = 0 THEN 'Moored'"
-    " WHEN event_type = 'error' AND event_id % 4 = 0 THEN 'At anchor'"
-    " WHEN event_id % 59 = 0 THEN 'Restricted maneuverability' WHEN event_id % 53 = 0 THEN 'Reserved for future use'"
-    " ELSE 'Under way using engine' END AS Navigational_status",
+    "CASE event_id % 67 WHEN 0 THEN NULL WHEN 1 THEN 'Restricted maneuverability'"
+    " WHEN 2 THEN 'At anchor' ELSE CASE event_type WHEN 'error' THEN 'Moored' ELSE 'Under way using engine' END END"
+    " AS Navigational_status",
     f"{_NAME} AS Name", f"{_SHIP_TYPE} AS Ship_type",
 ]
 REPORT_COLUMNS = (
