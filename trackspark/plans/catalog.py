@@ -11,6 +11,7 @@ from trackspark.functions import geo, text, timegrid
 from trackspark.operators import clean, dedupe, events, names, proximity, tracks
 from trackspark.params import CleanParams, EventParams, ProximityParams
 from trackspark.plans import derived
+from trackspark.plans.pipeline import pin_utc
 from trackspark.plans.two_sided import two_sided_pairs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,16 +43,26 @@ def _presentable(df: DataFrame) -> DataFrame:
 
 
 def query(build: Query) -> Query:
+    _QUERIES[build.__name__] = build
+    return build
+
+
+def _with_utc(build: Query, finish: Callable[[DataFrame], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-        return _presentable(build(spark, sf_dir))
+        pin_utc(spark)
+        return finish(build(spark, sf_dir))
 
-    _QUERIES[build.__name__] = run
-    return build
+    return run
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    """The queries as registered, in comparable form."""
+    return {name: _with_utc(build, _presentable) for name, build in _QUERIES.items()}
+
+
+def operators() -> dict[str, Query]:
+    """The same, as the operators return them."""
+    return {name: _with_utc(build, lambda df: df) for name, build in _QUERIES.items()}
 
 
 # --- inputs -----------------------------------------------------------------
