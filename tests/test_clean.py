@@ -177,3 +177,5 @@ def test_bad_params_are_refused():
         ProximityParams(time_mode="sliding")
     with pytest.raises(ValueError):
         ProximityParams(cell_deg=0)
+    with pytest.raises(ValueError):
+        ProximityParams(shared_positions=True, min_dist_m=-1.0)

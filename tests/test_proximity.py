@@ -130,6 +130,19 @@ def test_pairs_equal_brute_force(spark, lat, lon, spread, p):
     assert expected and set(got) == expected
 
 
+@pytest.mark.parametrize("time_mode", ["bucket", "exact"])
+@pytest.mark.parametrize("places", [1, 3, 40])
+def test_shared_positions_give_the_same_pairs(spark, time_mode, places):
+    rng = random.Random(places)
+    spots = [(55.2 + rng.uniform(-1, 1) * 400 * M_LAT, 14.2 + rng.uniform(-1, 1) * 700 * M_LAT) for _ in range(places)]
+    rows = [(m, t, *rng.choice(spots), *rest) for m, t, _, _, *rest in cloud(55.2, 14.2, 1, 260, seed=places)]
+    p = ProximityParams(time_mode=time_mode, shared_positions=True)
+    df = fixes(spark, *rows)
+    got = as_keys(proximity_pairs(df, p))
+    assert len(got) == len(set(got)) and set(got) == brute_force(rows, p)
+    assert sorted(proximity_pairs(df, p).collect()) == sorted(proximity_pairs(df, ProximityParams(time_mode=time_mode)).collect())
+
+
 def test_bucket_pairs_are_among_the_exact_ones(spark):
     df = fixes(spark, *cloud(55.2, 14.2, 700, 300, seed=5))
     bucket, exact = set(as_keys(proximity_pairs(df))), set(as_keys(proximity_pairs(df, EXACT)))

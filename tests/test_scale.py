@@ -12,7 +12,7 @@ from trackspark.operators.events import closest_approach, closest_events
 from trackspark.operators.names import modal_names, resolve_names
 from trackspark.operators.proximity import proximity_pairs
 from trackspark.operators.tracks import trajectories
-from trackspark.params import EventParams
+from trackspark.params import EventParams, ProximityParams
 from trackspark.plans import catalog
 
 
@@ -73,6 +73,18 @@ def test_a_crowded_cell_is_split(spark):
     assert "SortMergeJoin(skew=true)" in final
 
 
+def test_vessels_on_one_position_are_not_compared(spark):
+    piled = spark.range(0, 30000, 1, 4).select(
+        F.col("id").alias("mmsi"), F.timestamp_seconds(F.lit(1639353600)).alias("ts"),
+        F.when(F.col("id") == 0, 55.2001).otherwise(F.lit(55.2)).alias("lat"), F.lit(14.2).alias("lon"),
+        F.lit(5.0).alias("sog"), F.lit("NAME").alias("name"),
+    )
+    with no_broadcast(spark):
+        pairs = proximity_pairs(piled, ProximityParams(shared_positions=True))
+        # All but one stand on one spot; that one meets each of them.
+        assert pairs.agg(F.count("*"), F.countDistinct("mmsi2"), F.max("mmsi1")).collect()[0] == (29999, 29999, 0)
+
+
 def shuffled_rows(spark, df) -> list[int]:
     """Rows written by each shuffle of an executed query."""
     df.collect()

@@ -14,7 +14,10 @@ cell that holds many fixes (skew join).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackspark.functions import geo, timegrid
@@ -92,16 +95,16 @@ def _reaching(keyed: DataFrame, p: ProximityParams) -> DataFrame:
     )
 
 
-def proximity_pairs(fixes: DataFrame, p: ProximityParams = ProximityParams()) -> DataFrame:
-    """Pairs of fixes of two vessels close in space and time (``CANDIDATE_SCHEMA``).
+def _meet(
+    keyed: DataFrame, p: ProximityParams, carried: Sequence[str],
+    apart: Callable[[dict[str, Column], dict[str, Column], Column], Column],
+) -> DataFrame:
+    """Rows of ``keyed`` within the distance limits, as columns ``a_*`` and ``b_*``.
 
-    Expects one fix per (mmsi, ts), as :func:`~trackspark.operators.dedupe.dedupe_fixes`
-    gives; then no vessel has more than ``bucket_s`` rows under one join key, and
-    each pair of fixes appears once. Fixes whose circle crosses +-180 degrees or a
-    pole are only paired on their own side of it.
+    ``apart`` gives the condition on a row ``a`` in its cell, a row ``b`` that
+    reaches it, and whether the cell is ``b``'s own: there two rows meet twice,
+    elsewhere once and in either order.
     """
-    keyed = _keyed(fixes, p)
-    carried = [*_CARRIED, "sec"]
     here = keyed.select(*_KEY, *[F.col(c).alias(f"a_{c}") for c in carried])
     there = _reaching(keyed, p).select(
         *[F.col(k).alias(f"to_{k}") for k in _KEY],
@@ -109,39 +112,89 @@ def proximity_pairs(fixes: DataFrame, p: ProximityParams = ProximityParams()) ->
         F.col("lon_reach").alias("b_lon_reach"),
         *[F.col(c).alias(f"b_{c}") for c in carried],
     )
-    a = {c: F.col(f"a_{c}") for c in carried}
-    b = {c: F.col(f"b_{c}") for c in carried}
+    a, b = ({c: F.col(f"{side}_{c}") for c in carried} for side in "ab")
     dist = geo.haversine_m(a["lat"], a["lon"], b["lat"], b["lon"])
-    gap = F.abs(a["sec"] - b["sec"])
-
     condition = (
         (F.col("bucket") == F.col("to_bucket"))
         & (F.col("band") == F.col("to_band"))
         & (F.col("col") == F.col("to_col"))
-        # In one cell both fixes meet twice; elsewhere once, in either order.
-        & ((a["mmsi"] < b["mmsi"]) | (~F.col("home") & (a["mmsi"] > b["mmsi"])))
-        & (gap <= p.max_dt_s)
+        & apart(a, b, F.col("home"))
         # Plain comparisons first: they settle most rows before the trigonometry.
         & (F.abs(a["lat"] - b["lat"]) <= geo.lat_reach_deg(p.max_dist_m))
         & (F.abs(a["lon"] - b["lon"]) <= F.col("b_lon_reach"))
         & (dist > p.min_dist_m)
         & (dist <= p.max_dist_m)
     )
+    return here.join(there, condition, "inner")
+
+
+def _meet_by_position(keyed: DataFrame, p: ProximityParams) -> DataFrame:
+    """Pairs of fixes by way of pairs of positions.
+
+    A position is one row per time bucket however many vessels report it, so
+    those that share it are never compared with each other.
+    """
+    position = ["bucket", "lat", "lon"]
+    places = keyed.groupBy(*_KEY, "lat", "lon").agg(
+        # The latest fix there reaches farthest in time.
+        F.max("sec").alias("sec")
+    ).withColumn("at_bucket", F.col("bucket"))
+    near = _meet(
+        places, p, ["at_bucket", "lat", "lon", "sec"],
+        lambda a, b, home: ~home | (F.struct(a["lat"], a["lon"]) < F.struct(b["lat"], b["lon"])),
+    ).select(*[F.col(f"{s}_{c}").alias(f"{s}_near_{c}") for s in "ab" for c in ("at_bucket", "lat", "lon")])
+
+    def members(side: str) -> DataFrame:
+        return keyed.select(*[F.col(c).alias(f"{side}_{c}") for c in (*_CARRIED, "sec", "bucket")])
+
+    def at(side: str) -> Column:
+        named = zip((f"{side}_{c}" for c in position), (f"{side}_near_{c}" for c in ("at_bucket", "lat", "lon")))
+        return reduce(lambda x, y: x & y, [F.col(m) == F.col(n) for m, n in named])
+
+    return near.join(members("a"), at("a"), "inner").join(
+        members("b"),
+        at("b")
+        & (F.col("a_mmsi") != F.col("b_mmsi"))
+        & (F.abs(F.col("a_sec") - F.col("b_sec")) <= p.max_dt_s),
+        "inner",
+    )
+
+
+def _as_candidates(met: DataFrame) -> DataFrame:
+    a, b = ({c: F.col(f"{side}_{c}") for c in (*_CARRIED, "sec")} for side in "ab")
     swapped = a["mmsi"] > b["mmsi"]
-    first = {c: F.when(swapped, b[c]).otherwise(a[c]) for c in _CARRIED}
-    second = {c: F.when(swapped, a[c]).otherwise(b[c]) for c in _CARRIED}
     found = {
-        **{f"{c}1": col for c, col in first.items()},
-        **{f"{c}2": col for c, col in second.items()},
-        "dt_sec": gap,
-        "dist_m": dist,
+        **{f"{c}1": F.when(swapped, b[c]).otherwise(a[c]) for c in _CARRIED},
+        **{f"{c}2": F.when(swapped, a[c]).otherwise(b[c]) for c in _CARRIED},
+        "dt_sec": F.abs(a["sec"] - b["sec"]),
+        "dist_m": geo.haversine_m(a["lat"], a["lon"], b["lat"], b["lon"]),
         "collision_lat": geo.midpoint(a["lat"], b["lat"]),
         "collision_lon": geo.midpoint(a["lon"], b["lon"]),
         "collision_ts": F.least(a["ts"], b["ts"]),
     }
-    return here.join(there, condition, "inner").select(
-        *[found[n].alias(n) for n in CANDIDATE_SCHEMA.names]
-    )
+    return met.select(*[found[n].alias(n) for n in CANDIDATE_SCHEMA.names])
+
+
+def proximity_pairs(fixes: DataFrame, p: ProximityParams = ProximityParams()) -> DataFrame:
+    """Pairs of fixes of two vessels close in space and time (``CANDIDATE_SCHEMA``).
+
+    Expects one fix per (mmsi, ts), as :func:`~trackspark.operators.dedupe.dedupe_fixes`
+    gives; then no vessel has more than ``bucket_s`` rows under one join key, and
+    each pair of fixes appears once. Fixes whose circle crosses +-180 degrees or a
+    pole are only paired on their own side of it.
+
+    Inside a cell the work is within a constant factor of the pairs it holds, but
+    for vessels that report one identical position: they are compared and give
+    nothing. ``p.shared_positions`` avoids that at the price of two more joins.
+    """
+    keyed = _keyed(fixes, p)
+    if p.shared_positions:
+        return _as_candidates(_meet_by_position(keyed, p))
+    return _as_candidates(_meet(
+        keyed, p, [*_CARRIED, "sec"],
+        lambda a, b, home: ((a["mmsi"] < b["mmsi"]) | (~home & (a["mmsi"] > b["mmsi"])))
+        & (F.abs(a["sec"] - b["sec"]) <= p.max_dt_s),
+    ))
 
 
 def find_candidates(fixes: DataFrame, p: ProximityParams = ProximityParams()) -> DataFrame:

@@ -256,6 +256,11 @@ def proximity_pairs_exact(spark, d):
     return proximity.proximity_pairs(derived.unique_fixes(spark, d), EXACT)
 
 
+@query
+def proximity_pairs_shared_positions(spark, d):
+    return proximity.proximity_pairs(derived.unique_fixes(spark, d), ProximityParams(shared_positions=True))
+
+
 @query
 def pair_time_gap(spark, d):
     gap = timegrid.time_gap_s(F.col("ts1"), F.col("ts2")).alias("gap_s")

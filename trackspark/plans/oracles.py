@@ -202,6 +202,7 @@ def _bodies() -> dict[str, str]:
   FROM fixes, (VALUES (-1), (0), (1)) x(d), (VALUES (-1), (0), (1)) y(d)""",
         "proximity_pairs": _candidates("close"),
         "proximity_pairs_exact": _candidates("close_exact"),
+        "proximity_pairs_shared_positions": _candidates("close"),
         "pair_time_gap": f"SELECT {_KEY}, dt_sec AS gap_s FROM close",
         "pair_midpoint": f"""SELECT {_KEY}, round((lat1 + lat2) / 2e0, 8) AS mid_lat,
   round((lon1 + lon2) / 2e0, 8) AS mid_lon FROM close""",
