@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from tests.conftest import BASE, candidate, candidates, fix, fixes, plus
 from trackspark.operators import clean, events
 from trackspark.params import CleanParams, EventParams, ProximityParams
-from trackspark.plans import pipeline
+from trackspark.plans import job
 from trackspark.sources import reports, stores
 
 HEADER = "# Timestamp,Type of mobile,MMSI,Latitude,Longitude,Navigational status,ROT,SOG,COG,Heading,IMO,Name,Ship type"
@@ -136,7 +136,7 @@ def test_pipeline_finds_the_collision(spark, tmp_path):
         line(ts=f"12/12/2021 {10 + i // 60}:{i % 60:02d}:00", mmsi=f"21900016{k}", lat=f"55.00000{k}", name=f"HG 16{k}")
         for i in range(201) for k in (2, 5)
     ])
-    result = pipeline.run(spark, str(data), str(tmp_path / "out"), pipeline.PipelineParams(
+    result = job.run(spark, str(data), str(tmp_path / "out"), job.JobParams(
         clean=DEC_2021, proximity=ProximityParams(min_dist_m=0.1)))
     got = result.events.collect()
     assert [(r.mmsi1, r.mmsi2, r.name1, r.name2) for r in got] == [
@@ -148,5 +148,15 @@ def test_pipeline_finds_the_collision(spark, tmp_path):
 
 def test_pipeline_without_data_gives_empty_tables(spark, tmp_path):
     write(tmp_path / "a.csv", HEADER)
-    result = pipeline.run(spark, str(tmp_path), str(tmp_path / "out"))
+    result = job.run(spark, str(tmp_path), str(tmp_path / "out"))
     assert (result.events.count(), result.tracks.count(), result.n_fixes, result.n_candidates) == (0, 0, 0, 0)
+
+
+def test_command_line(spark, tmp_path, monkeypatch, capsys):
+    from trackspark import __main__ as command
+    write(tmp_path / "a.csv", HEADER, line(), line(mmsi="232018267", lat="55.223092", name="MV SCOT CARRIER"))
+    monkeypatch.setattr("sys.argv", [
+        "trackspark", "--data", str(tmp_path), "--output", str(tmp_path / "out"), "--year", "2021", "--events", "3"])
+    command.main()
+    shown = capsys.readouterr().out
+    assert "2 fixes, 1 candidates" in shown and "MV SCOT CARRIER" in shown

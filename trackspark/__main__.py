@@ -8,7 +8,7 @@ import os
 from pyspark.sql import SparkSession
 
 from trackspark.params import CleanParams, EventParams
-from trackspark.plans.pipeline import PipelineParams, run
+from trackspark.plans.job import JobParams, run
 
 
 def main() -> None:
@@ -23,7 +23,7 @@ def main() -> None:
     args = parser.parse_args()
 
     spark = SparkSession.builder.appName("trackspark").getOrCreate()
-    result = run(spark, args.data, args.output, PipelineParams(
+    result = run(spark, args.data, args.output, JobParams(
         clean=CleanParams(year=args.year, month=args.month),
         events=EventParams(k=args.events),
         layout=args.layout,

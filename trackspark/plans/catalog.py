@@ -11,7 +11,7 @@ from trackspark.functions import geo, text, timegrid
 from trackspark.operators import clean, dedupe, events, names, proximity, tracks
 from trackspark.params import CleanParams, EventParams, ProximityParams
 from trackspark.plans import derived
-from trackspark.plans.pipeline import pin_utc
+from trackspark.plans.job import pin_utc
 from trackspark.plans.two_sided import two_sided_pairs
 
 Query = Callable[[SparkSession, str], DataFrame]

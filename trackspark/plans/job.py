@@ -16,7 +16,7 @@ from trackspark.sources import reports, stores
 
 
 @dataclass(frozen=True)
-class PipelineParams:
+class JobParams:
     clean: CleanParams = field(default_factory=CleanParams)
     proximity: ProximityParams = field(default_factory=ProximityParams)
     events: EventParams = field(default_factory=EventParams)
@@ -25,7 +25,7 @@ class PipelineParams:
 
 
 @dataclass(frozen=True)
-class PipelineResult:
+class JobResult:
     events: DataFrame
     tracks: DataFrame
     n_fixes: int
@@ -42,7 +42,7 @@ def fixes_from_reports(typed: DataFrame, p: CleanParams = CleanParams()) -> Data
     return dedupe.dedupe_fixes(clean.clean_fixes(typed, p))
 
 
-def run(spark: SparkSession, data: str, output: str, p: PipelineParams = PipelineParams()) -> PipelineResult:
+def run(spark: SparkSession, data: str, output: str, p: JobParams = JobParams()) -> JobResult:
     """Runs the whole pipeline; ``output`` is a folder all executors can reach.
 
     Writes ``fixes/``, ``candidates/``, ``events/``, ``events_json/`` and
@@ -66,7 +66,7 @@ def run(spark: SparkSession, data: str, output: str, p: PipelineParams = Pipelin
     stores.write_event_json(ranked, f"{output.rstrip('/')}/events_json")
 
     tracks.trajectories(fixes, ranked, p.tracks).write.mode("overwrite").parquet(tracks_root)
-    return PipelineResult(
+    return JobResult(
         events=ranked,
         tracks=stores.read_tracks(spark, tracks_root),
         # Row counts of stored Parquet come from the file footers.

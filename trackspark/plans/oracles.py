@@ -9,6 +9,7 @@ from __future__ import annotations
 from trackspark.params import CleanParams
 from trackspark.plans import derived
 
+# Fixed values, once more as SQL, so that the check does not share them.
 _CENTRE = (55.225, 14.245)
 _STATUSES = (
     "'At anchor', 'Moored', 'Aground', 'Not under command', 'Reserved for future use',"

@@ -56,6 +56,7 @@ def read_reports(spark: SparkSession, path: str, layout: str = "uniform") -> Dat
     ``layout="uniform"``: one scan over all files; a file with another header
     makes the query fail. ``layout="per_file"``: the headers are read file by
     file, files with equal headers share one scan, and absent columns are NULL.
+    That is one small job per file, so it suits some thousand files, not millions.
     """
     pattern = csv_pattern(path)
     if layout == "uniform":
