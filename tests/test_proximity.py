@@ -171,6 +171,7 @@ def test_no_fixes_no_pairs(spark):
 def test_rows_without_position_are_left_alone(spark):
     assert n_pairs(spark, fix(1, lat=None), fix(2)) == 0
     assert n_pairs(spark, fix(1, lat=float("nan")), fix(2)) == 0
+    assert n_pairs(spark, fix(1, ts=None), fix(2, ts=None, lat=55.2005)) == 0
 
 
 @pytest.mark.parametrize("name, ship_type, expected", [

@@ -162,6 +162,13 @@ def test_the_pipeline_computes_pairs_once(spark):
     assert text.count("[to_bucket") == 2, "one join and the exchange below it"
 
 
+@pytest.mark.parametrize("name", ["closest_event", "resolve_names", "find_candidates_exact", "trajectories"])
+def test_reports_are_scanned_cleaned_and_shuffled_once(spark, name):
+    df = catalog.operators()[name](spark, "/root/testdata/sf0.001")
+    df.collect()
+    assert plan(df).split("Initial Plan")[0].count("FileScan") == 1
+
+
 def test_columns_are_pruned_at_the_scan(spark, capsys):
     catalog.queries()["proximity_pairs"](spark, "/root/testdata/sf0.001").explain("formatted")
     schema = [x for x in capsys.readouterr().out.splitlines() if x.startswith("ReadSchema")]

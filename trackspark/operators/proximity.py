@@ -54,10 +54,10 @@ def neighbour_cells(df: DataFrame, cell_deg: float = 0.01, radius: int = 1) -> D
 def _keyed(fixes: DataFrame, p: ProximityParams) -> DataFrame:
     band = geo.grid_cell(F.col("lat"), p.cell_deg)
     return (
-        fixes.filter(F.col("sog") >= p.min_sog)
-        .select(*_CARRIED, timegrid.epoch_s(F.col("ts")).alias("sec"), band.alias("band"))
+        fixes.filter((F.col("sog") >= p.min_sog) & F.col("ts").isNotNull())
+        .select(*_CARRIED, timegrid.known_epoch_s(F.col("ts")).alias("sec"), band.alias("band"))
         .withColumns({
-            "bucket": timegrid.time_bucket(F.col("sec"), p.bucket_s),
+            "bucket": timegrid.known_time_bucket(F.col("sec"), p.bucket_s),
             "col": geo.band_column(F.col("lon"), F.col("band"), p.cell_deg),
         })
     )
@@ -74,7 +74,7 @@ def _reaching(keyed: DataFrame, p: ProximityParams) -> DataFrame:
         "lon_reach": geo.lon_reach_deg(lat, p.max_dist_m),
     })
     if p.time_mode == "exact":
-        last = timegrid.time_bucket(F.col("sec") + p.max_dt_s, p.bucket_s)
+        last = timegrid.known_time_bucket(F.col("sec") + p.max_dt_s, p.bucket_s)
         copies = copies.withColumn("bucket", F.explode(F.sequence("own_bucket", last)))
 
     same_bucket = F.col("bucket") == F.col("own_bucket")

@@ -39,10 +39,9 @@ def trajectories(fixes: DataFrame, events: DataFrame, p: TrackParams = TrackPara
             timegrid.time_bucket(F.col("from_s"), slot_s), timegrid.time_bucket(F.col("to_s"), slot_s)
         )),
     )
-    sec = timegrid.epoch_s(F.col("ts"))
-    # A join key column of its own: the slot is computed once per fix.
-    slotted = fixes.select("mmsi", "ts", "lat", "lon", "sog", "cog").withColumn(
-        "slot", timegrid.time_bucket(sec, slot_s)
+    sec = timegrid.known_epoch_s(F.col("ts"))
+    slotted = fixes.filter(F.col("ts").isNotNull()).select(
+        "mmsi", "ts", "lat", "lon", "sog", "cog", timegrid.known_time_bucket(sec, slot_s).alias("slot")
     )
     return slotted.join(
         wanted,
