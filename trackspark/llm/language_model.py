@@ -90,9 +90,17 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, k: int, table: int) -> Vocabulary:
-    """The ``k`` most frequent words as classes, and counts of the ``table`` most frequent for all workers."""
-    short = counts.where(F.octet_length("word") <= LONGEST)
-    top = short.orderBy(F.desc("n"), "word").limit(table).collect()
+    """The ``k`` most frequent words as classes, and counts of up to ``table`` of the most frequent for all workers."""
+    short = counts.where(F.octet_length("word") <= LONGEST).withColumn("step", F.floor(F.log2("n") * 16))
+    # How many words have counts of each step (a few hundred rows) tells from which count on they fit.
+    least, room = None, table
+    for step, words in sorted(((r["step"], r["count"]) for r in short.groupBy("step").count().collect()), reverse=True):
+        room -= words
+        if room < 0:
+            break
+        least = step
+    top = short.where(F.col("step") >= least).select("word", "n").collect() if least is not None else []
+    top.sort(key=lambda r: (-r["n"], r["word"]))
     words, n = [r["word"].encode() for r in top], np.array([r["n"] for r in top], np.int64)
     tail = F.pmod(F.crc32(F.substring(F.col("word").cast("binary"), -3, 3)), F.lit(TAILS)).cast("int")
     tokens, kinds = np.zeros(TAILS, np.int64), np.zeros(TAILS, np.int64)

@@ -8,28 +8,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackspark.llm import shared
 
-#: A space next to other white space; only without one is every space the start of a token.
-_IRREGULAR = re.compile(r"\s | \s|^\s|\s$")
+#: Marks at the end of a piece. After a letter they are a token of their own, or several.
+_MARKS = ".,!?;:%$&#*|"
 #: Columns of the files.
 SCHEMA = "doc_id long, text_hash long, ids array<int>, n_tokens long"
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
 class PieceEncoder:
-    """Encodes texts by pieces that start at a lone space, and remembers up to ``most`` pieces.
+    """Encodes texts by pieces that start at a lone space, and remembers pieces that recur.
 
     A byte-level pre-tokenizer starts a token at each space between two characters that
     are not white space, so the ids of a text are the ids of its pieces one after another.
     Unknown pieces are encoded in one call, glued together, and cut where a token begins
-    with a space. Texts with other runs of spaces are cut only where that rule holds.
+    with a space. New pieces are held until there are ``most`` of them; those wanted again meanwhile
+    are kept on, up to twice as many, the others forgotten. Texts with other runs of spaces are cut only where that rule holds.
     """
 
-    def __init__(self, path: str, most: int = 600_000) -> None:
+    def __init__(self, path: str, most: int = 200_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -37,10 +39,46 @@ class PieceEncoder:
         vocab = self.tokenizer.get_vocab()
         self.starts = np.zeros(max(vocab.values()) + 1, bool)
         self.starts[[i for t, i in vocab.items() if t[0] == "Ġ"]] = True
-        self.known: dict[str, bytes] = {}
+        self.kept: dict[str, bytes] = {}
+        self.recent: dict[str, bytes] = {}
+        self.again: set[str] = set()
+        self.tails: dict[str, bytes] = {}
         self.most, self.held = most, 0
 
-    def _learn(self, new: list[str]) -> None:
+    def _known(self, wanted: list[str]) -> dict[str, bytes]:
+        """The ids of each piece."""
+        out, new, seen = {}, [], []
+        for w in wanted:
+            if (ids := self.kept.get(w)) is None:
+                if (ids := self.recent.get(w)) is None:
+                    new.append(w)
+                    continue
+                seen.append(w)
+            out[w] = ids
+        self.again.update(seen)
+        self.held += sum(map(len, new))
+        # Of a word with marks the word may be known, and the marks mostly are.
+        marked = [(w, core, w[len(core) :]) for w in new if (core := w.rstrip(_MARKS)) != w and core[-1:].isalpha()]
+        bare = set(new).difference(w for w, _, _ in marked).union(c for _, c, _ in marked if c not in self.kept and c not in self.recent)
+        found = self._learn(list(bare))
+        self.recent.update(found)
+        for w, core, tail in marked:
+            if (ids := self.tails.get(tail)) is None:
+                ids = self.tails[tail] = self._whole([tail])[0]
+            found[w] = (self.kept.get(core) or self.recent[core]) + ids
+        if len(self.recent) > self.most or self.held > 40 * self.most:
+            if len(self.kept) + len(self.again) > 2 * self.most:
+                self.kept.clear()
+            self.kept.update((w, self.recent[w]) for w in self.again if w in self.recent and len(w) <= 100)
+            self.recent.clear()
+            self.again.clear()
+            self.tails.clear()
+            self.held = 0
+        out.update(found)
+        return out
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
             ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
@@ -48,46 +86,42 @@ class PieceEncoder:
             raw = ids.tobytes()
             if len(first) != len(some):
                 raise ValueError("the vocabulary does not start tokens at spaces")
-            self.known.update(zip(some, (raw[a:b] for a, b in zip(first.tolist(), [*first[1:].tolist(), len(raw)]))))
+            out.update(zip(some, (raw[a:b] for a, b in zip(first.tolist(), [*first[1:].tolist(), len(raw)]))))
+        return out
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        odd: dict[int, list[str]] = {}
-        split, wanted = [], set()
-        for k, text in enumerate(texts):
-            if _IRREGULAR.search(text):
-                parts = _CUT.split(text)
-                odd[k] = [p for p in parts if p[:1] != " " or re.search(r"\s", p[1:])]
-                parts = [(p[1:] if p[:1] == " " and not re.search(r"\s", p[1:]) else None, p) for p in parts]
-                wanted.update(p for p, _ in parts if p is not None)
-                split.append(parts)
-            else:
-                parts = text.split(" ")
-                wanted.update(parts[1:])
-                split.append(parts)
-        if len(self.known) > self.most or self.held > 40 * self.most:
-            self.known.clear()
-            self.held = 0
-        new = [w for w in wanted if w not in self.known]
-        self.held += sum(map(len, new))
-        self._learn(new)
-        heads = self._whole([p[0] for k, p in enumerate(split) if k not in odd])
-        rest = dict(zip(odd, self._by_lengths(list(odd.values()))))
-        out, head, get = [], iter(heads), self.known.__getitem__
-        for k, parts in enumerate(split):
-            if k in odd:
-                whole = iter(rest[k])
-                out.append(b"".join(next(whole) if w is None else get(w) for w, _ in parts))
-            else:
-                out.append(next(head) + b"".join(map(get, parts[1:])))
-        return out
-
-    def _by_lengths(self, groups: list[list[str]]) -> list[list[bytes]]:
-        flat = iter(self._whole([p for g in groups for p in g]))
-        return [[next(flat) for _ in g] for g in groups]
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each text, and all ids one after another."""
+        lists = pc.split_pattern(texts, " ")
+        first = lists.offsets.to_numpy()[:-1]
+        coded = lists.values.dictionary_encode()
+        piece, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        n = len(words)
+        heads = [words[p] for p in piece[first].tolist()]
+        alone = np.diff(lists.offsets.to_numpy()) == 1
+        # White space beside a space shows as an empty piece or at the end of one.
+        unsafe = np.array([not w or w[0].isspace() or w[-1].isspace() for w in words])
+        bad = unsafe[piece]
+        bad[first] = [w[-1:].isspace() for w in heads]
+        odd = np.logical_or.reduceat(bad, first) & ~alone
+        inner = np.ones(len(piece), bool)
+        inner[first] = False
+        used = np.bincount(piece[inner], minlength=n).astype(bool) & ~unsafe
+        known = self._known([words[i] for i in np.flatnonzero(used).tolist()])
+        entries = [known.get(w, b"") for w in words]
+        entries += [b"" if o else x for o, x in zip(odd.tolist(), self._whole(heads))]
+        for k in np.flatnonzero(odd).tolist():
+            entries[n + k] = b"".join(self._whole(_CUT.split(texts[k].as_py())))
+        piece[np.repeat(odd, np.diff(lists.offsets.to_numpy()))] = n + len(heads)
+        piece[first] = n + np.arange(len(heads))
+        size = np.fromiter((len(x) // 4 for x in entries), np.int64, len(entries))
+        start, size = np.append(np.cumsum(size) - size, 0), np.append(size, 0)
+        took = size[piece]
+        ends = np.cumsum(took)
+        ids = np.frombuffer(b"".join(entries), "<u4")[np.arange(ends[-1]) + np.repeat(start[piece] - ends + took, took)]
+        return np.add.reduceat(took, first), ids
 
 
 def encode(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
@@ -106,13 +140,13 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder(tokenizer)
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for b in shared.pieces(batch, 1, 4 << 20):
-                got = [x + end for x in encoder.encode(b.column(1).to_pylist())]
-                lengths = np.fromiter((len(x) // 4 for x in got), np.int64, len(got))
+                lengths, ids = encoder.encode(b.column(1).cast(pa.string()))
+                ids = np.insert(ids, np.cumsum(lengths), end_id).view("<i4")
+                lengths += 1
                 offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(got), "<i4")))
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), b.column(2), ids, pa.array(lengths)], ["doc_id", "text_hash", "ids", "n_tokens"]
                 )
@@ -156,7 +190,8 @@ def digests(tokens: DataFrame) -> DataFrame:
 
 def starts(tokens: DataFrame) -> DataFrame:
     """Add ``start``: the number of ids of all documents before, in order of ``doc_id``."""
-    return shared.running_totals(tokens, ["doc_id", "text_hash"], "n_tokens", "start")
+    # Written first: dealing out by range looks at its input twice.
+    return shared.running_totals(shared.materialise(tokens, "digests"), ["doc_id", "text_hash"], "n_tokens", "start")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
