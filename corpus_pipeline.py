@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from trackspark.llm import mixing, packing, quality_rules, shared, simhash
 
-#: Near-duplicates of the pipeline: five-word shingles; fingerprints of texts alike to 0.8 or more.
-WORDS, DISTANCE = 5, 4
+#: Near-duplicates of the pipeline: five-word shingles; texts alike to 0.8 differ in six bits or so.
+WORDS, DISTANCE = 5, 6
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:

@@ -47,5 +47,23 @@ def queries() -> dict[str, Query]:
     return {name: _with_package(q) for name, q in (_QUERIES | {"pipeline": _pipeline}).items()}
 
 
+_CHAT = r"""WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  -- 4 + 2 + 9 characters of marks, and a backslash for each backslash and control string.
+  CAST(sum(15 + length(replace(replace(role, '\', '\\'), chr(10), '\n'))
+    + length(replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>'))) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id"""
+
+_WARC = """SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest,
+  CASE WHEN strlen(html) >= 1000 AND page_id < newest THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN strlen(html) >= 1000 AND page_id < newest THEN newest END AS refers_to
+FROM (SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS newest FROM pages)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the operators whose every result column it can say; the others are tested against brute force."""
+    return {"op1_chat_format": _CHAT, "op9_warc": _WARC}
