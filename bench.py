@@ -17,13 +17,7 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(pathlib.Path(__file__).resolve().parent))
 
-from trackspark.plans import catalog, derived  # noqa: E402
-from trackspark.plans.two_sided import two_sided_pairs  # noqa: E402
-
-
-def _two_sided(spark, d):
-    # Yardstick: both sides copied to nine cells, repeats removed afterwards.
-    return two_sided_pairs(derived.unique_fixes(spark, d)).dropDuplicates(catalog.PAIR_KEY)
+from trackspark.plans import catalog  # noqa: E402
 
 
 HEADLINE = [
@@ -50,7 +44,7 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     known = catalog.operators()
-    timed = {name: known[name] for name in HEADLINE} | {"two_sided_yardstick": _two_sided}
+    timed = {name: known[name] for name in HEADLINE}
     seconds = {}
     for name, build in timed.items():
         best = None
@@ -60,7 +54,7 @@ def main() -> None:
             took = time.perf_counter() - start
             best = took if best is None else min(best, took)
         seconds[name] = round(best, 3)
-    total = round(sum(v for k, v in seconds.items() if k != "two_sided_yardstick"), 3)
+    total = round(sum(seconds.values()), 3)
     print(json.dumps({
         "metric": "headline_total", "value": total, "unit": "sec", "queries": seconds,
         "sf": pathlib.Path(sf_dir).name.removeprefix("sf"),

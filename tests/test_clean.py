@@ -178,4 +178,4 @@ def test_bad_params_are_refused():
     with pytest.raises(ValueError):
         ProximityParams(cell_deg=0)
     with pytest.raises(ValueError):
-        ProximityParams(shared_positions=True, min_dist_m=-1.0)
+        ProximityParams(min_dist_m=-1.0)

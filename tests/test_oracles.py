@@ -5,11 +5,11 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-import __spark_entry__ as entry_points
+from trackspark.plans import catalog, oracles
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES = entry_points.queries()
-ORACLES = entry_points.oracle_sql()
+QUERIES = catalog.queries()
+ORACLES = oracles.oracle_sql()
 
 
 @pytest.fixture(scope="module")

@@ -12,7 +12,6 @@ from trackspark.operators.proximity import (
     find_candidates, neighbour_cells, proximity_pairs, union_candidates, with_cells,
 )
 from trackspark.params import ProximityParams
-from trackspark.plans.two_sided import two_sided_pairs
 from trackspark.schemas import CANDIDATE_SCHEMA
 
 EXACT = ProximityParams(time_mode="exact")
@@ -136,11 +135,10 @@ def test_shared_positions_give_the_same_pairs(spark, time_mode, places):
     rng = random.Random(places)
     spots = [(55.2 + rng.uniform(-1, 1) * 400 * M_LAT, 14.2 + rng.uniform(-1, 1) * 700 * M_LAT) for _ in range(places)]
     rows = [(m, t, *rng.choice(spots), *rest) for m, t, _, _, *rest in cloud(55.2, 14.2, 1, 260, seed=places)]
-    p = ProximityParams(time_mode=time_mode, shared_positions=True)
+    p = ProximityParams(time_mode=time_mode)
     df = fixes(spark, *rows)
     got = as_keys(proximity_pairs(df, p))
     assert len(got) == len(set(got)) and set(got) == brute_force(rows, p)
-    assert sorted(proximity_pairs(df, p).collect()) == sorted(proximity_pairs(df, ProximityParams(time_mode=time_mode)).collect())
 
 
 def test_bucket_pairs_are_among_the_exact_ones(spark):
@@ -149,12 +147,12 @@ def test_bucket_pairs_are_among_the_exact_ones(spark):
     assert bucket < exact
 
 
-def test_two_sided_copies_reduce_to_the_same_pairs(spark):
+def test_repeated_candidates_reduce_to_the_same_pairs(spark):
     df = fixes(spark, *cloud(55.2, 14.2, 900, 250, seed=6))
-    copied = two_sided_pairs(df)
-    once = proximity_pairs(df)
-    assert copied.count() > once.count()
-    assert sorted(dedupe_candidates(copied).collect()) == sorted(once.collect())
+    exact = proximity_pairs(df, EXACT)
+    both = proximity_pairs(df).unionByName(exact)
+    assert both.count() > exact.count()
+    assert sorted(dedupe_candidates(both).collect()) == sorted(exact.collect())
 
 
 def test_row_order_does_not_matter(spark):

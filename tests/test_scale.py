@@ -80,7 +80,7 @@ def test_vessels_on_one_position_are_not_compared(spark):
         F.lit(5.0).alias("sog"), F.lit("NAME").alias("name"),
     )
     with no_broadcast(spark):
-        pairs = proximity_pairs(piled, ProximityParams(shared_positions=True))
+        pairs = proximity_pairs(piled)
         # All but one stand on one spot; that one meets each of them.
         assert pairs.agg(F.count("*"), F.countDistinct("mmsi2"), F.max("mmsi1")).collect()[0] == (29999, 29999, 0)
 

@@ -39,16 +39,11 @@ def with_cells(df: DataFrame, cell_deg: float = 0.01) -> DataFrame:
 
 def neighbour_cells(df: DataFrame, cell_deg: float = 0.01, radius: int = 1) -> DataFrame:
     """Copies each fix to its grid cell and those around it: ``join_gx``, ``join_gy``."""
-    steps = range(-radius, radius + 1)
-    offsets = F.array(*[
-        F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in steps for dy in steps
-    ])
-    return (
-        with_cells(df, cell_deg)
-        .select("*", F.inline(offsets))
-        .withColumns({"join_gx": F.col("grid_x") + F.col("dx"), "join_gy": F.col("grid_y") + F.col("dy")})
-        .drop("dx", "dy", "grid_x", "grid_y")
-    )
+    def around(value: str) -> Column:
+        own = geo.grid_cell(F.col(value), cell_deg)
+        return F.explode(F.sequence(own - radius, own + radius))
+
+    return df.withColumn("join_gx", around("lat")).withColumn("join_gy", around("lon"))
 
 
 def _keyed(fixes: DataFrame, p: ProximityParams) -> DataFrame:
@@ -136,9 +131,10 @@ def _meet_by_position(keyed: DataFrame, p: ProximityParams) -> DataFrame:
     """
     position = ["bucket", "lat", "lon"]
     places = keyed.groupBy(*_KEY, "lat", "lon").agg(
-        # The latest fix there reaches farthest in time.
-        F.max("sec").alias("sec")
-    ).withColumn("at_bucket", F.col("bucket"))
+        # The latest fix there reaches farthest in time. Its other columns keep this
+        # side's input the same as the members', so one shuffle of fixes serves both.
+        F.max(F.struct("sec", *(c for c in _CARRIED if c not in ("lat", "lon")))).alias("latest")
+    ).select(*_KEY, "lat", "lon", F.col("latest.sec").alias("sec"), F.col("bucket").alias("at_bucket"))
     near = _meet(
         places, p, ["at_bucket", "lat", "lon", "sec"],
         lambda a, b, home: ~home | (F.struct(a["lat"], a["lon"]) < F.struct(b["lat"], b["lon"])),
@@ -183,18 +179,11 @@ def proximity_pairs(fixes: DataFrame, p: ProximityParams = ProximityParams()) ->
     each pair of fixes appears once. Fixes whose circle crosses +-180 degrees or a
     pole are only paired on their own side of it.
 
-    Inside a cell the work is within a constant factor of the pairs it holds, but
-    for vessels that report one identical position: they are compared and give
-    nothing. ``p.shared_positions`` avoids that at the price of two more joins.
+    Positions meet first, then the fixes at them, so vessels piled up on one identical
+    position are never compared with each other; inside a cell the work is within a
+    constant factor of the pairs of positions it holds.
     """
-    keyed = _keyed(fixes, p)
-    if p.shared_positions:
-        return _as_candidates(_meet_by_position(keyed, p))
-    return _as_candidates(_meet(
-        keyed, p, [*_CARRIED, "sec"],
-        lambda a, b, home: ((a["mmsi"] < b["mmsi"]) | (~home & (a["mmsi"] > b["mmsi"])))
-        & (F.abs(a["sec"] - b["sec"]) <= p.max_dt_s),
-    ))
+    return _as_candidates(_meet_by_position(_keyed(fixes, p), p))
 
 
 def find_candidates(fixes: DataFrame, p: ProximityParams = ProximityParams()) -> DataFrame:

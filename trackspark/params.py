@@ -105,9 +105,7 @@ class ProximityParams:
 
     ``time_mode="bucket"`` compares fixes of one time bucket only;
     ``"exact"`` finds every pair at most ``max_dt_s`` apart. ``cell_deg`` is the
-    height of a grid band and decides work, never results; so does
-    ``shared_positions``, for data where very many vessels report one identical
-    position within a bucket.
+    height of a grid band and decides work, never results.
     """
 
     max_dist_m: float = 300.0
@@ -117,7 +115,6 @@ class ProximityParams:
     bucket_s: int = 60
     cell_deg: float = 0.01
     time_mode: str = "bucket"
-    shared_positions: bool = False
     service_keywords: tuple[str, ...] = SERVICE_KEYWORDS
     excluded_ship_types: tuple[str, ...] = EXCLUDED_SHIP_TYPES
     keyword_match: str = "substring"
@@ -129,8 +126,8 @@ class ProximityParams:
             raise ValueError(f"keyword_match must be 'substring' or 'word', not {self.keyword_match!r}")
         if self.cell_deg <= 0 or self.bucket_s <= 0 or self.max_dist_m <= 0 or self.max_dt_s < 0:
             raise ValueError("cell_deg, bucket_s and max_dist_m must be positive, max_dt_s not negative")
-        if self.shared_positions and self.min_dist_m < 0:
-            raise ValueError("shared_positions needs min_dist_m >= 0: it leaves out pairs at 0 m")
+        if self.min_dist_m < 0:
+            raise ValueError("min_dist_m must not be negative: pairs at 0 m are left out")
 
 
 @dataclass(frozen=True)

@@ -12,7 +12,6 @@ from trackspark.operators import clean, dedupe, events, names, proximity, tracks
 from trackspark.params import CleanParams, EventParams, ProximityParams
 from trackspark.plans import derived
 from trackspark.plans.job import pin_utc
-from trackspark.plans.two_sided import two_sided_pairs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -258,7 +257,7 @@ def proximity_pairs_exact(spark, d):
 
 @query
 def proximity_pairs_shared_positions(spark, d):
-    return proximity.proximity_pairs(derived.unique_fixes(spark, d), ProximityParams(shared_positions=True))
+    return proximity.proximity_pairs(derived.unique_fixes(spark, d), ProximityParams(cell_deg=0.02))
 
 
 @query
@@ -295,7 +294,9 @@ def find_candidates_exact(spark, d):
 
 @query
 def dedupe_candidates(spark, d):
-    return dedupe.dedupe_candidates(two_sided_pairs(derived.unique_fixes(spark, d)))
+    # What both time modes find comes twice.
+    fixes = derived.unique_fixes(spark, d)
+    return dedupe.dedupe_candidates(proximity.proximity_pairs(fixes).unionByName(proximity.proximity_pairs(fixes, EXACT)))
 
 
 @query

@@ -6,7 +6,6 @@ the algorithms are independent of the ones they check.
 
 from __future__ import annotations
 
-from trackspark.params import CleanParams
 from trackspark.plans import derived
 
 # Fixed values, once more as SQL, so that the check does not share them.
@@ -33,12 +32,12 @@ def _haversine(lat1: str, lon1: str, lat2: str, lon2: str, diameter: str) -> str
 
 
 def _box(kind: str) -> str:
-    height, width = CleanParams(bbox=kind).half_box()
-    lat, lon = _CENTRE
-    return (
-        f"lat BETWEEN {lat - height!r}e0 AND {lat + height!r}e0"
-        f" AND lon BETWEEN {lon - width!r}e0 AND {lon + width!r}e0"
-    )
+    lat, lon = (f"{x}e0" for x in _CENTRE)
+    if kind == "reference":
+        height, width = "92.6e0 / 111.32e0", f"92.6e0 / (111.32e0 * cos(radians({lat})))"
+    else:
+        height, width = "degrees(92.6e0 / 6371e0) + 1e-9", f"degrees(asin(sin(92.6e0 / 6371e0) / cos(radians({lat})))) + 1e-9"
+    return f"abs(lat - {lat}) <= {height} AND abs(lon - {lon}) <= {width}"
 
 
 _KM = _haversine("lat", "lon", "55.225e0", "14.245e0", "12742e0")
@@ -210,7 +209,7 @@ def _bodies() -> dict[str, str]:
         "pair_first_ts": f"SELECT {_KEY}, {_stamp('CASE WHEN ts1 <= ts2 THEN ts1 ELSE ts2 END')} AS first_ts FROM close",
         "find_candidates": _candidates("cand"),
         "find_candidates_exact": _candidates("cand_exact"),
-        "dedupe_candidates": _candidates("close"),
+        "dedupe_candidates": _candidates("close_exact"),
         "union_daily_candidates": _candidates("cand"),
         "pair_observation_counts": "SELECT * FROM obs",
         "transient_pairs": "SELECT * FROM obs WHERE n_obs <= 5",

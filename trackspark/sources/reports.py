@@ -12,18 +12,15 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from trackspark.operators.clean import coerce_types, normalise_headers
+from trackspark.operators.clean import coerce_types, header_name, normalise_headers
 from trackspark.params import TIMESTAMP_PATTERN
 from trackspark.schemas import REPORT_TYPES, REQUIRED_REPORT_COLUMNS
 
 
 def csv_pattern(path: str) -> str:
     """One ``.csv`` file or pattern as it is; otherwise all ``*.csv`` of a directory."""
-    return path if path.endswith(".csv") else path.rstrip("/") + "/*.csv"
-
-
-def _clean_name(header: str) -> str:
-    return header.lstrip("#").strip().replace(" ", "_")
+    suffix = ".csv"
+    return path if path.endswith(suffix) else f"{path}/*{suffix}".replace("//*", "/*")
 
 
 def _headers(spark: SparkSession, paths: list[str]) -> list[str]:
@@ -32,11 +29,11 @@ def _headers(spark: SparkSession, paths: list[str]) -> list[str]:
 
 
 def _scan(spark: SparkSession, paths: list[str], headers: list[str]) -> DataFrame:
-    missing = [c for c in REQUIRED_REPORT_COLUMNS if c not in map(_clean_name, headers)]
+    missing = [c for c in REQUIRED_REPORT_COLUMNS if c not in map(header_name, headers)]
     if missing:
         raise ValueError(f"no column {', '.join(missing)} in the header of {paths[0]}")
     schema = T.StructType([
-        T.StructField(h, REPORT_TYPES.get(_clean_name(h), T.StringType())) for h in headers
+        T.StructField(h, REPORT_TYPES.get(header_name(h), T.StringType())) for h in headers
     ])
     return normalise_headers(
         spark.read.schema(schema)
