@@ -76,17 +76,18 @@ def scored(texts: DataFrame, ratios: DataFrame, order: int = 3) -> DataFrame:
 def threshold(scores: DataFrame, width: float = 0.01) -> float:
     """The score from which to allow, by held-out scores (``use``, ``score``).
 
-    Of all steps of ``width`` it is that with the best mean of the shares allowed rightly and blocked
-    rightly, nearest 0 of equals; 0 where one kind is missing.
+    It has the best mean of the shares allowed rightly and blocked rightly (of equals that nearest 0),
+    and lies midway between two scores that occur, in steps of ``width``; 0 where one kind is missing.
     """
     bins = scores.groupBy(F.floor(F.col("score") / width).cast("long").alias("bin")).agg(
         F.count(F.when(F.col("use") == "allow", 1)).alias("a"), F.count(F.when(F.col("use") == "block", 1)).alias("b")
     )
     bins = bins.selectExpr(
-        "bin", "sum(a) over () as all_a", "sum(b) over () as all_b", "sum(a) over (order by bin desc) as a_from", "sum(b) over (order by bin) - b as b_below"
+        "bin", "sum(a) over () as all_a", "sum(b) over () as all_b", "sum(a) over (order by bin desc) as a_from", "sum(b) over (order by bin) - b as b_below",
+        "(bin + coalesce(lag(bin) over (order by bin) + 1, bin)) / 2 as middle"
     )
     best = bins.where("all_a > 0 and all_b > 0").orderBy(F.desc(F.expr("a_from / all_a + b_below / all_b")), F.abs("bin"), "bin").first()
-    return best["bin"] * width if best else 0.0
+    return best["middle"] * width if best else 0.0
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, order: int = 3) -> DataFrame:
