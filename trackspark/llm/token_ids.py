@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -124,6 +125,12 @@ class PieceEncoder:
         return np.add.reduceat(took, first), ids
 
 
+@functools.lru_cache(maxsize=1)
+def _encoder(path: str) -> PieceEncoder:
+    """One encoder for all tasks of a worker, so that the pieces it holds serve the next task too."""
+    return PieceEncoder(path)
+
+
 def encode(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     """Rows ``doc_id``, ``text_hash``, ``ids`` (list of int, ends with ``end_id``), ``n_tokens``, in order.
 
@@ -139,7 +146,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     rows = rows.withColumn("text_hash", F.xxhash64("text")).repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(tokenizer)
+        encoder = _encoder(tokenizer)
         for batch in batches:
             for b in shared.pieces(batch, 1, 4 << 20):
                 lengths, ids = encoder.encode(b.column(1).cast(pa.string()))
