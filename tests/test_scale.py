@@ -73,6 +73,22 @@ def test_a_crowded_cell_is_split(spark):
     assert "SortMergeJoin(skew=true)" in final
 
 
+def test_a_crowded_cell_is_split_where_several_tasks_feed_it(spark):
+    """Adaptive execution splits by the tasks that wrote a partition, and tiny positions else come from one."""
+    df = crowd(spark, 9000)
+    with no_broadcast(
+        spark,
+        spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="20k",
+        spark__sql__adaptive__skewJoin__skewedPartitionFactor="1.5",
+        spark__sql__adaptive__advisoryPartitionSizeInBytes="20k",
+        spark__sql__adaptive__coalescePartitions__minPartitionSize="1k",
+        spark__sql__shuffle__partitions="16",
+    ):
+        counted = proximity_pairs(df).agg(F.count("*").alias("n"))
+        counted.collect()
+        assert "SortMergeJoin(skew=true)" in plan(counted)
+
+
 def test_vessels_on_one_position_are_not_compared(spark):
     piled = spark.range(0, 30000, 1, 4).select(
         F.col("id").alias("mmsi"), F.timestamp_seconds(F.lit(1639353600)).alias("ts"),
