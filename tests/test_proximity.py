@@ -204,3 +204,37 @@ def test_dedupe_fixes_keeps_the_lowest_row(spark):
         assert [(r.mmsi, r.lat, r.name) for r in out.orderBy("mmsi", "ts").collect()] == expected
     named_first = dedupe_fixes(df.filter("mmsi = 1"), ["name"])
     assert [(r.lat, r.name) for r in named_first.orderBy("ts").collect()] == [(55.2, "a"), (55.9, None)]
+
+
+@pytest.mark.parametrize("time_mode", ["bucket", "exact"])
+@pytest.mark.parametrize("lat, lon", [(10.0, 179.9995), (55.0, 180.0), (0.0, -180.0), (89.9, 180.0), (89.998, 0.0), (-89.999, 120.0)])
+def test_pairs_across_the_date_line_and_the_poles(spark, time_mode, lat, lon):
+    rng = random.Random(f"{lat}{lon}")
+    rows = {}
+    for _ in range(220):
+        mmsi, sec = rng.randrange(1, 13), rng.randrange(150)
+        span = min(180.0, 700 * M_LAT / math.cos(math.radians(lat)))
+        at_lat = max(-90.0, min(90.0, lat + rng.uniform(-1, 1) * 700 * M_LAT))
+        at_lon = (lon + rng.uniform(-1, 1) * span + 540) % 360 - 180
+        rows[mmsi, sec] = fix(mmsi, BASE + dt.timedelta(seconds=sec), at_lat, rng.choice([at_lon, at_lon, round(at_lon, 3)]))
+    rows = list(rows.values())
+    p = ProximityParams(time_mode=time_mode)
+    got = as_keys(proximity_pairs(fixes(spark, *rows), p))
+    assert len(got) == len(set(got)), "a pair came twice"
+    expected = brute_force(rows, p)
+    assert expected and set(got) == expected
+
+
+def test_midpoint_across_the_date_line(spark):
+    for east in (179.9995, 179.999):
+        row = proximity_pairs(fixes(spark, fix(1, lat=10.0, lon=east), fix(2, lat=10.0, lon=-179.9993))).first()
+        assert row.dist_m < 300
+        assert row.collision_lon == pytest.approx((east - 179.9993) / 2 + (180 if east < 179.9993 else -180))
+
+
+@pytest.mark.parametrize("time_mode", ["bucket", "exact"])
+def test_split_cells_give_the_same_pairs(spark, time_mode):
+    rows = cloud(55.2, 14.2, 900, 260, seed=11) + [fix(99, BASE, 55.2, 14.2)]
+    p = ProximityParams(time_mode=time_mode, crowd=3)
+    got = as_keys(proximity_pairs(fixes(spark, *rows), p))
+    assert len(got) == len(set(got)) and set(got) == brute_force(rows, p)

@@ -7,6 +7,7 @@ import contextlib
 import pytest
 from pyspark.sql import functions as F
 
+from trackspark.operators import proximity
 from trackspark.operators.dedupe import dedupe_fixes
 from trackspark.operators.events import closest_approach, closest_events
 from trackspark.operators.names import modal_names, resolve_names
@@ -48,7 +49,7 @@ def crowd(spark, n: int):
     )
 
 
-def test_a_crowded_cell_is_split(spark):
+def test_a_crowded_cell_keeps_its_pairs(spark):
     df = crowd(spark, 9000)
     expected = (
         df.alias("a").join(df.alias("b"), F.expr(
@@ -59,18 +60,20 @@ def test_a_crowded_cell_is_split(spark):
             " + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))) AS d")
         .filter("d > 1 AND d <= 300").count()
     )
-    with no_broadcast(
-        spark,
-        spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="20k",
-        spark__sql__adaptive__skewJoin__skewedPartitionFactor="1.5",
-        spark__sql__adaptive__advisoryPartitionSizeInBytes="20k",
-        spark__sql__shuffle__partitions="16",
-    ):
-        pairs = proximity_pairs(df)
-        counted = pairs.agg(F.count("*").alias("n"))
-        assert counted.collect()[0].n == expected > 0
-        final = plan(counted)
-    assert "SortMergeJoin(skew=true)" in final
+    with no_broadcast(spark):
+        assert proximity_pairs(df).count() == expected > 0
+
+
+def test_a_crowded_cell_meets_in_many_tasks_at_default_settings(spark):
+    """30,000 positions in one cell and one minute: no task compares them all."""
+    p = ProximityParams(max_dist_m=5.0)
+    with no_broadcast(spark, spark__sql__shuffle__partitions="64"):
+        met = proximity._meet(
+            proximity._keyed(crowd(spark, 90_000), p), p, ["mmsi", "lat", "lon", "sec"],
+            lambda a, b, home: ~home | (a["mmsi"] < b["mmsi"]),
+        ).groupBy(F.spark_partition_id().alias("task")).count()
+        counts = [r["count"] for r in met.collect()]
+    assert len(counts) >= 8 and max(counts) < sum(counts) / 3
 
 
 def test_a_crowded_cell_is_split_where_several_tasks_feed_it(spark):
@@ -178,6 +181,18 @@ def test_the_pipeline_computes_pairs_once(spark):
     assert text.count("[to_bucket") == 2, "one join and the exchange below it"
 
 
+@pytest.mark.parametrize("name", ["candidates_of_transient_pairs", "union_daily_candidates"])
+def test_both_uses_of_the_candidates_share_one_pair_join(spark, name):
+    df = catalog.operators()[name](spark, "/root/testdata/sf0.01")
+    with no_broadcast(spark):
+        assert df.count() > 0
+        df = catalog.operators()[name](spark, "/root/testdata/sf0.01")
+        df.collect()
+        text = plan(df).split("Initial Plan")[0]
+    assert text.count("FileScan") == 1
+    assert text.count("[to_bucket") == 2, "one join and the sort below it"
+
+
 @pytest.mark.parametrize("name", ["closest_event", "resolve_names", "find_candidates_exact", "trajectories"])
 def test_reports_are_scanned_cleaned_and_shuffled_once(spark, name):
     df = catalog.operators()[name](spark, "/root/testdata/sf0.001")

@@ -83,12 +83,28 @@ def test_files_with_different_headers(spark, tmp_path):
     write(tmp_path / "day1.csv", HEADER, line())
     write(tmp_path / "day2.csv", SHORT, "14/12/2021 00:00:01,219000001,14.3,55.3,7.5,10")
     write(tmp_path / "day3.csv", HEADER, line(ts="15/12/2021 00:00:00"))
-    with pytest.raises(Exception, match="(?i)header"):
-        reports.read_reports(spark, str(tmp_path)).collect()
-    got = reports.read_reports(spark, str(tmp_path), layout="per_file")
+    got = reports.read_reports(spark, str(tmp_path))
     assert {(r.MMSI, r.Latitude, r.Longitude, r.SOG, r.Name) for r in got.collect()} == {
         ("219021240", 55.223067, 14.243683, 6.0, "KARIN HOEJ"), ("219000001", 55.3, 14.3, 7.5, None)}
     assert got.count() == 3
+    with pytest.raises(Exception, match="(?i)header"):
+        reports.read_reports(spark, str(tmp_path), header=HEADER).collect()
+    write(tmp_path / "day4.csv", "13/12/2021 02:27:29,1,55.2,14.2,5,5")
+    with pytest.raises(Exception, match="no header in"):
+        reports.read_reports(spark, str(tmp_path)).collect()
+
+
+def test_many_files_take_as_many_jobs_as_few(spark, tmp_path):
+    def jobs(n):
+        for i in range(n):
+            write(tmp_path / f"day{i}.csv", HEADER if i % 2 else SHORT, line() if i % 2 else "14/12/2021 00:00:01,2,14.3,55.3,7.5,10")
+        spark.sparkContext.setJobGroup(f"files{n}", "")
+        df = reports.read_reports(spark, str(tmp_path))
+        assert df.filter("Latitude IS NOT NULL AND ts IS NOT NULL").count() == n
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"files{n}"))
+
+    assert jobs(4) == jobs(12)
 
 
 def test_store_by_day(spark, tmp_path):

@@ -15,11 +15,21 @@ def _arc(h: Column, radius: float) -> Column:
     return F.asin(F.sqrt(F.least(h, F.lit(1.0)))) * F.lit(2.0 * radius)
 
 
-def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Great-circle distance of two points in metres; symmetric to the last bit."""
+def half_chord2(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Squared half chord of two points on the unit sphere; grows with their distance."""
     north = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2)
     east = F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return _arc(north + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * east, EARTH_RADIUS_M)
+    return north + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * east
+
+
+def half_chord2_of(dist_m: float) -> float:
+    """The same for a distance; half the globe round is the farthest."""
+    return math.sin(min(dist_m / (2 * EARTH_RADIUS_M), math.pi / 2)) ** 2
+
+
+def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Great-circle distance of two points in metres; symmetric to the last bit."""
+    return _arc(half_chord2(lat1, lon1, lat2, lon2), EARTH_RADIUS_M)
 
 
 def haversine_km_to(lat: Column, lon: Column, point_lat: float, point_lon: float) -> Column:
@@ -41,9 +51,10 @@ def lat_reach_deg(dist_m: float) -> float:
 
 
 def lon_reach_deg(lat: Column, dist_m: float) -> Column:
-    """Largest difference in longitude of a point at ``lat`` and one ``dist_m`` away."""
+    """Largest difference in longitude of a point at ``lat`` and one ``dist_m`` away; 180 round a pole."""
     ratio = F.lit(math.sin(dist_m / EARTH_RADIUS_M)) / F.cos(F.radians(lat))
-    return F.degrees(F.asin(F.least(ratio, F.lit(1.0)))) * (1 + 1e-9) + 1e-12
+    reach = F.degrees(F.asin(F.least(ratio, F.lit(1.0)))) * (1 + 1e-9) + 1e-12
+    return F.when((ratio >= 0) & (ratio < 1), reach).otherwise(180.0)
 
 
 def band_column(lon: Column, band: Column, size_deg: float) -> Column:
@@ -57,5 +68,11 @@ def band_column(lon: Column, band: Column, size_deg: float) -> Column:
 
 
 def midpoint(a: Column, b: Column) -> Column:
-    """Arithmetic mean of two coordinates (not for tracks across +-180 degrees)."""
+    """Mean of two latitudes."""
     return (a + b) / 2
+
+
+def mid_longitude(a: Column, b: Column) -> Column:
+    """The longitude midway between two, the short way round."""
+    mean = (a + b) / 2
+    return F.when(F.abs(a - b) <= 180, mean).otherwise(F.when(mean < 0, mean + 180).otherwise(mean - 180))

@@ -30,12 +30,17 @@ def persistent_pairs(candidates: DataFrame, p: EventParams = EventParams()) -> D
 
 
 def candidates_of_transient_pairs(candidates: DataFrame, p: EventParams = EventParams()) -> DataFrame:
-    """All candidates of the transient pairs.
+    """All candidates of the transient pairs, from one shuffle of ``candidates``.
 
-    Reads ``candidates`` twice, so pass a stored table. :func:`closest_approach`
-    does not need this step.
+    :func:`closest_approach` does not need this step.
     """
-    return candidates.join(transient_pairs(candidates, p), PAIR, "left_semi")
+    dealt = candidates.hint("rebalance", *map(F.col, PAIR))
+    # The hash reads all columns, so both uses ask the same of the shuffle and share it.
+    counted = dealt.groupBy(*PAIR).agg(
+        F.count("*").alias("n_obs"), F.max(F.xxhash64(*candidates.columns)).alias("any_row")
+    )
+    few = counted.filter((F.col("n_obs") <= p.max_obs) & F.col("any_row").isNotNull())
+    return dealt.join(few, PAIR, "left_semi")
 
 
 def closest_approach(candidates: DataFrame, p: EventParams = EventParams()) -> DataFrame:

@@ -6,10 +6,10 @@ into its own cell and those after it in (bucket, band, column) order. Of two
 fixes in different cells exactly one reaches forward to the other, so each pair
 is found once. With the default cells that is about 1.7 copies per fix.
 
-The join key is equality on three integers; gap, distance and identity are the
-residual condition of the same join, so no candidate that fails them leaves it.
-No repartitioning is forced, which lets adaptive execution split a bucket and
-cell that holds many fixes (skew join).
+The join key is equality on integers; gap, distance and identity are the residual
+condition of the same join, so no candidate that fails them leaves it. The most
+crowded cells are split: their rows are dealt out, and what reaches the cell goes to
+each part.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from trackspark.schemas import CANDIDATE_SCHEMA
 
 _CARRIED = ("mmsi", "ts", "lat", "lon", "sog", "name")
 _KEY = ("bucket", "band", "col")
+#: Cells that may be split. A cell outside this many largest ones holds no more than this part of all rows.
+_SPLIT_CELLS = 10_000
 
 
 def with_cells(df: DataFrame, cell_deg: float = 0.01) -> DataFrame:
@@ -49,7 +51,8 @@ def neighbour_cells(df: DataFrame, cell_deg: float = 0.01, radius: int = 1) -> D
 def _keyed(fixes: DataFrame, p: ProximityParams) -> DataFrame:
     band = geo.grid_cell(F.col("lat"), p.cell_deg)
     return (
-        fixes.filter((F.col("sog") >= p.min_sog) & F.col("ts").isNotNull())
+        # All conditions that joins would infer stand here, so that what reads it keeps one plan.
+        fixes.filter((F.col("sog") >= p.min_sog) & F.col("ts").isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull())
         .select(*_CARRIED, timegrid.known_epoch_s(F.col("ts")).alias("sec"), band.alias("band"))
         .withColumns({
             "bucket": timegrid.known_time_bucket(F.col("sec"), p.bucket_s),
@@ -59,8 +62,13 @@ def _keyed(fixes: DataFrame, p: ProximityParams) -> DataFrame:
 
 
 def _reaching(keyed: DataFrame, p: ProximityParams) -> DataFrame:
-    """The forward copies; ``home`` marks the one in the fix's own cell."""
-    lat, lon = F.col("lat"), F.col("lon")
+    """The forward copies; ``home`` marks the one in the fix's own cell.
+
+    A circle across +-180 degrees also reaches from the other side of that line: ``seen_lon``
+    is the longitude it reaches from. Inside one band only rows from the east do so, since
+    two rows would else meet twice.
+    """
+    lat, lon, reach = F.col("lat"), F.col("seen_lon"), F.col("lon_reach")
     high_lat = geo.lat_reach_deg(p.max_dist_m)
     copies = keyed.withColumns({
         "own_bucket": F.col("bucket"),
@@ -80,45 +88,72 @@ def _reaching(keyed: DataFrame, p: ProximityParams) -> DataFrame:
     copies = copies.withColumn("band", F.explode(F.sequence(first_band, last_band)))
 
     same_band = same_bucket & (F.col("band") == F.col("own_band"))
-    first_col = F.when(same_band, F.col("own_col")).otherwise(
-        geo.band_column(lon - F.col("lon_reach"), F.col("band"), p.cell_deg)
+    east, west = F.col("lon") + reach > 180, (F.col("lon") - reach < -180) & ~same_band
+    own, minus, plus = F.col("lon"), F.col("lon") - 360, F.col("lon") + 360
+    copies = copies.withColumn("seen_lon", F.explode(
+        F.when(east & west, F.array(own, minus, plus)).when(east, F.array(own, minus))
+        .when(west, F.array(own, plus)).otherwise(F.array(own))
+    ))
+
+    there = lon == F.col("lon")
+    first_col = F.when(same_band & there, F.col("own_col")).otherwise(
+        geo.band_column(F.greatest(lon - reach, F.lit(-180.0)), F.col("band"), p.cell_deg)
     )
-    last_col = geo.band_column(lon + F.col("lon_reach"), F.col("band"), p.cell_deg)
+    last_col = geo.band_column(F.least(lon + reach, F.lit(180.0)), F.col("band"), p.cell_deg)
     copies = copies.withColumn("col", F.explode(F.sequence(first_col, last_col)))
-    return copies.withColumn("home", same_band & (F.col("col") == F.col("own_col"))).drop(
+    return copies.withColumn("home", same_band & there & (F.col("col") == F.col("own_col"))).drop(
         "own_bucket", "own_band", "own_col"
     )
 
 
 def _meet(
-    keyed: DataFrame, p: ProximityParams, carried: Sequence[str],
+    places: DataFrame, p: ProximityParams, carried: Sequence[str],
     apart: Callable[[dict[str, Column], dict[str, Column], Column], Column],
 ) -> DataFrame:
-    """Rows of ``keyed`` within the distance limits, as columns ``a_*`` and ``b_*``.
+    """Rows of ``places`` within the distance limits, as columns ``a_*`` and ``b_*``.
 
     ``apart`` gives the condition on a row ``a`` in its cell, a row ``b`` that
     reaches it, and whether the cell is ``b``'s own: there two rows meet twice,
     elsewhere once and in either order.
+
+    Cells of more than ``crowd`` rows are split into parts of about that size. The table of
+    them has a fixed largest size, which lets Spark broadcast it.
     """
-    here = keyed.select(*_KEY, *[F.col(c).alias(f"a_{c}") for c in carried])
-    there = _reaching(keyed, p).select(
-        *[F.col(k).alias(f"to_{k}") for k in _KEY],
-        "home",
+    # Counting a column of the rows keeps their plan, so that its shuffle is reused.
+    crowded = places.groupBy(*_KEY).agg(F.count("sec").alias("n")).filter(F.col("n") > p.crowd)
+    crowded = crowded.orderBy(F.desc("n"), *_KEY).limit(_SPLIT_CELLS).select(
+        *_KEY, F.ceil(F.col("n") / p.crowd).cast("int").alias("parts")
+    )
+    parts = F.coalesce("parts", F.lit(1))
+    here = places.join(crowded, [*_KEY], "left").select(
+        *_KEY, F.pmod(F.xxhash64("lat", "lon"), parts).cast("int").alias("part"),
+        *[F.col(c).alias(f"a_{c}") for c in carried],
+    )
+    there = _reaching(places, p).join(crowded, [*_KEY], "left").withColumn(
+        "part", F.explode(F.sequence(F.lit(0), parts - 1))
+    ).select(
+        *[F.col(k).alias(f"to_{k}") for k in (*_KEY, "part")],
+        "home", F.col("seen_lon").alias("b_seen_lon"),
         F.col("lon_reach").alias("b_lon_reach"),
         *[F.col(c).alias(f"b_{c}") for c in carried],
     )
     a, b = ({c: F.col(f"{side}_{c}") for c in carried} for side in "ab")
-    dist = geo.haversine_m(a["lat"], a["lon"], b["lat"], b["lon"])
+    east = F.abs(a["lon"] - F.col("b_seen_lon"))
+    # Grows with the distance, so the limits are two constants.
+    chord = geo.half_chord2(a["lat"], a["lon"], b["lat"], b["lon"])
     condition = (
         (F.col("bucket") == F.col("to_bucket"))
         & (F.col("band") == F.col("to_band"))
         & (F.col("col") == F.col("to_col"))
+        & (F.col("part") == F.col("to_part"))
         & apart(a, b, F.col("home"))
         # Plain comparisons first: they settle most rows before the trigonometry.
         & (F.abs(a["lat"] - b["lat"]) <= geo.lat_reach_deg(p.max_dist_m))
-        & (F.abs(a["lon"] - b["lon"]) <= F.col("b_lon_reach"))
-        & (dist > p.min_dist_m)
-        & (dist <= p.max_dist_m)
+        & (east <= F.col("b_lon_reach"))
+        # Just half the globe apart, rows meet on their own side of the line only.
+        & ((F.col("b_seen_lon") == b["lon"]) | (east < 180))
+        & (chord > geo.half_chord2_of(p.min_dist_m))
+        & (chord <= geo.half_chord2_of(p.max_dist_m))
     )
     return here.join(there, condition, "inner")
 
@@ -165,7 +200,7 @@ def _as_candidates(met: DataFrame) -> DataFrame:
         "dt_sec": F.abs(a["sec"] - b["sec"]),
         "dist_m": geo.haversine_m(a["lat"], a["lon"], b["lat"], b["lon"]),
         "collision_lat": geo.midpoint(a["lat"], b["lat"]),
-        "collision_lon": geo.midpoint(a["lon"], b["lon"]),
+        "collision_lon": geo.mid_longitude(a["lon"], b["lon"]),
         "collision_ts": F.least(a["ts"], b["ts"]),
     }
     return met.select(*[found[n].alias(n) for n in CANDIDATE_SCHEMA.names])
@@ -176,8 +211,8 @@ def proximity_pairs(fixes: DataFrame, p: ProximityParams = ProximityParams()) ->
 
     Expects one fix per (mmsi, ts), as :func:`~trackspark.operators.dedupe.dedupe_fixes`
     gives; then no vessel has more than ``bucket_s`` rows under one join key, and
-    each pair of fixes appears once. Fixes whose circle crosses +-180 degrees or a
-    pole are only paired on their own side of it.
+    each pair of fixes appears once, across +-180 degrees and the poles too. Longitudes
+    run from -180 to 180.
 
     Positions meet first, then the fixes at them, so vessels piled up on one identical
     position are never compared with each other; inside a cell the work is within a

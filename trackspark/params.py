@@ -105,7 +105,8 @@ class ProximityParams:
 
     ``time_mode="bucket"`` compares fixes of one time bucket only;
     ``"exact"`` finds every pair at most ``max_dt_s`` apart. ``cell_deg`` is the
-    height of a grid band and decides work, never results.
+    height of a grid band, ``crowd`` the positions of a cell that one task compares
+    with all that reach it; both decide work, never results.
     """
 
     max_dist_m: float = 300.0
@@ -114,6 +115,7 @@ class ProximityParams:
     min_sog: float = 2.0
     bucket_s: int = 60
     cell_deg: float = 0.01
+    crowd: int = 2_000
     time_mode: str = "bucket"
     service_keywords: tuple[str, ...] = SERVICE_KEYWORDS
     excluded_ship_types: tuple[str, ...] = EXCLUDED_SHIP_TYPES
@@ -124,8 +126,8 @@ class ProximityParams:
             raise ValueError(f"time_mode must be 'bucket' or 'exact', not {self.time_mode!r}")
         if self.keyword_match not in ("substring", "word"):
             raise ValueError(f"keyword_match must be 'substring' or 'word', not {self.keyword_match!r}")
-        if self.cell_deg <= 0 or self.bucket_s <= 0 or self.max_dist_m <= 0 or self.max_dt_s < 0:
-            raise ValueError("cell_deg, bucket_s and max_dist_m must be positive, max_dt_s not negative")
+        if min(self.cell_deg, self.bucket_s, self.max_dist_m, self.crowd) <= 0 or self.max_dt_s < 0:
+            raise ValueError("cell_deg, bucket_s, max_dist_m and crowd must be positive, max_dt_s not negative")
         if self.min_dist_m < 0:
             raise ValueError("min_dist_m must not be negative: pairs at 0 m are left out")
 

@@ -271,7 +271,7 @@ def pair_midpoint(spark, d):
     return proximity.proximity_pairs(derived.unique_fixes(spark, d)).select(
         *PAIR_KEY,
         geo.midpoint(F.col("lat1"), F.col("lat2")).alias("mid_lat"),
-        geo.midpoint(F.col("lon1"), F.col("lon2")).alias("mid_lon"),
+        geo.mid_longitude(F.col("lon1"), F.col("lon2")).alias("mid_lon"),
     )
 
 
@@ -301,12 +301,10 @@ def dedupe_candidates(spark, d):
 
 @query
 def union_daily_candidates(spark, d):
-    fixes = clean.filter_service_vessels(cleaned_unique(spark, d))
-    middle = F.lit("2021-12-08").cast("timestamp")
-    return proximity.union_candidates(
-        proximity.proximity_pairs(fixes.filter(F.col("ts") < middle)),
-        proximity.proximity_pairs(fixes.filter(F.col("ts") >= middle)),
-    )
+    # Conditions on what the de-duplication returns stay above it, so its shuffle serves both parts.
+    found = dedupe.dedupe_candidates(candidates(spark, d))
+    odd = F.dayofmonth("collision_ts") % 2 == 1
+    return proximity.union_candidates(found.filter(odd), found.filter(~odd))
 
 
 # --- events -----------------------------------------------------------------

@@ -21,7 +21,6 @@ class JobParams:
     proximity: ProximityParams = field(default_factory=ProximityParams)
     events: EventParams = field(default_factory=EventParams)
     tracks: TrackParams = field(default_factory=TrackParams)
-    layout: str = "uniform"
 
 
 @dataclass(frozen=True)
@@ -53,7 +52,7 @@ def run(spark: SparkSession, data: str, output: str, p: JobParams = JobParams())
         f"{output.rstrip('/')}/{t}" for t in ("fixes", "candidates", "events", "tracks")
     )
 
-    stores.write_by_day(fixes_from_reports(reports.read_reports(spark, data, p.layout), p.clean), fixes_root)
+    stores.write_by_day(fixes_from_reports(reports.read_reports(spark, data), p.clean), fixes_root)
     fixes = stores.read_fixes(spark, fixes_root)
 
     stores.write_by_day(proximity.find_candidates(fixes, p.proximity), candidates_root, ts="collision_ts")

@@ -6,64 +6,100 @@ token is parsed once, dirty tokens become NULL, and filters reach the reader.
 
 from __future__ import annotations
 
-from collections import defaultdict
-from functools import reduce
+import csv
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trackspark.operators.clean import coerce_types, header_name, normalise_headers
 from trackspark.params import TIMESTAMP_PATTERN
 from trackspark.schemas import REPORT_TYPES, REQUIRED_REPORT_COLUMNS
 
+#: With up to this many files, their headers go to all tasks; beyond, they are joined by shuffle.
+BROADCAST_FILES = 100_000
+#: Different headers that one call reads.
+MOST_HEADERS = 100
 
-def csv_pattern(path: str) -> str:
-    """One ``.csv`` file or pattern as it is; otherwise all ``*.csv`` of a directory."""
-    suffix = ".csv"
-    return path if path.endswith(suffix) else f"{path}/*{suffix}".replace("//*", "/*")
 
+def _reader(spark: SparkSession) -> DataFrameReader:
+    return spark.read.option("pathGlobFilter", "*.csv")
 
-def _headers(spark: SparkSession, paths: list[str]) -> list[str]:
-    # Reads the header line only; without inference no data is scanned.
-    return spark.read.option("header", True).csv(paths).columns
 
-
-def _scan(spark: SparkSession, paths: list[str], headers: list[str]) -> DataFrame:
-    missing = [c for c in REQUIRED_REPORT_COLUMNS if c not in map(header_name, headers)]
+def _columns(header: str) -> list[str]:
+    columns = next(csv.reader([header]))
+    missing = [c for c in REQUIRED_REPORT_COLUMNS if c not in map(header_name, columns)]
     if missing:
-        raise ValueError(f"no column {', '.join(missing)} in the header of {paths[0]}")
+        raise ValueError(f"no column {', '.join(missing)} in the header {header}")
+    return columns
+
+
+def file_headers(spark: SparkSession, path: str) -> DataFrame:
+    """Rows ``file``, ``header``: the header line of each file, found by one scan of the text.
+
+    A header names a timestamp and an MMSI and stands in a file's first block.
+    """
+    lines = _reader(spark).text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    named = F.col("value").contains("Timestamp") & F.col("value").contains("MMSI")
+    first = lines.filter((F.col("file_block_start") == 0) & named)
+    return first.groupBy(F.col("file_path").alias("file")).agg(F.min("value").alias("header"))
+
+
+def _typed_scan(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     schema = T.StructType([
-        T.StructField(h, REPORT_TYPES.get(header_name(h), T.StringType())) for h in headers
+        T.StructField(c, REPORT_TYPES.get(header_name(c), T.StringType())) for c in columns
     ])
     return normalise_headers(
-        spark.read.schema(schema)
+        _reader(spark).schema(schema)
         .option("header", True)
         .option("mode", "PERMISSIVE")
         .option("timestampFormat", TIMESTAMP_PATTERN)
         .option("enableDateTimeParsingFallback", False)
         # Stop at a file whose header differs, instead of reading it askew.
         .option("enforceSchema", False)
-        .csv(paths)
+        .csv(path)
     )
 
 
-def read_reports(spark: SparkSession, path: str, layout: str = "uniform") -> DataFrame:
-    """Reports of one CSV file or of all in a directory, typed, with ``ts``.
+def _mapped_scan(spark: SparkSession, path: str, files: DataFrame, headers: list[str], small: bool) -> DataFrame:
+    """Text columns by place, named by the header of their file; a file without one stops the query."""
+    places = [{header_name(c): i for i, c in enumerate(_columns(h))} for h in headers]
+    width = max(len(_columns(h)) for h in headers)
+    schema = T.StructType([T.StructField(f"at{i}", T.StringType()) for i in range(width)])
+    rows = _reader(spark).schema(schema).csv(path).select("*", F.col("_metadata.file_path").alias("file"))
+    kinds = F.create_map(*[F.lit(x) for i, h in enumerate(headers) for x in (h, i)])
+    files = files.select("file", kinds[F.col("header")].alias("kind"))
+    rows = rows.join(F.broadcast(files) if small else files, "file", "left")
+    kind = F.coalesce("kind", F.raise_error(F.concat(F.lit("no header in "), "file")).cast("int"))
+
+    def value(name: str) -> Column:
+        found = F.lit(None).cast("string")
+        for i, at in enumerate(places):
+            if name in at:
+                found = F.when(F.col("kind") == i, F.col(f"at{at[name]}")).otherwise(found)
+        return found
+
+    names = list(dict.fromkeys(n for at in places for n in at))
+    rows = rows.withColumn("kind", kind).select(*[value(n).alias(n) for n in names])
+    return rows.filter(~F.col("MMSI").eqNullSafe("MMSI"))
+
+
+def read_reports(spark: SparkSession, path: str, header: str | None = None) -> DataFrame:
+    """Reports of one CSV file or of all ``*.csv`` in a directory, typed, with ``ts``.
 
-    ``layout="uniform"``: one scan over all files; a file with another header
-    makes the query fail. ``layout="per_file"``: the headers are read file by
-    file, files with equal headers share one scan, and absent columns are NULL.
-    That is one small job per file, so it suits some thousand files, not millions.
+    Files may have different headers: columns are matched by name, absent ones are NULL.
+    The headers are found by one job over the text; only the different ones reach the driver.
+    Where all files share one, the reader parses and filters the columns itself. Whoever knows
+    that ``header`` can give it and save the first scan; a file with another one then stops the query.
     """
-    pattern = csv_pattern(path)
-    if layout == "uniform":
-        return coerce_types(_scan(spark, [pattern], _headers(spark, [pattern])))
-    if layout != "per_file":
-        raise ValueError(f"layout must be 'uniform' or 'per_file', not {layout!r}")
-    # Only the listing: the content column of the binary source is not read.
-    files = [r.path for r in spark.read.format("binaryFile").load(pattern).select("path").collect()]
-    by_headers: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for file in sorted(files):
-        by_headers[tuple(_headers(spark, [file]))].append(file)
-    scans = [coerce_types(_scan(spark, same, list(headers))) for headers, same in by_headers.items()]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
+    if header is not None:
+        return coerce_types(_typed_scan(spark, path, _columns(header)))
+    files = file_headers(spark, path)
+    found = files.groupBy("header").count().orderBy("header").limit(MOST_HEADERS + 1).collect()
+    if not 1 <= len(found) <= MOST_HEADERS:
+        raise ValueError(f"{'no header' if not found else f'over {MOST_HEADERS} headers'} in {path}")
+    headers = [r["header"] for r in found]
+    if len(headers) == 1:
+        return coerce_types(_typed_scan(spark, path, _columns(headers[0])))
+    small = sum(r["count"] for r in found) <= BROADCAST_FILES
+    return coerce_types(_mapped_scan(spark, path, files, headers, small))
