@@ -162,6 +162,33 @@ def test_pipeline_finds_the_collision(spark, tmp_path):
     assert result.tracks.filter("role = 'vessel2'").count() == 2
 
 
+@pytest.mark.parametrize("p", [ProximityParams(), ProximityParams(time_mode="exact"), ProximityParams(bucket_s=7000)])
+def test_a_run_day_by_day_equals_one_run(spark, tmp_path, p):
+    data = tmp_path / "data"
+    data.mkdir()
+    for day in (12, 13, 14):
+        write(data / f"day{day}.csv", HEADER, *[
+            line(ts=f"{day}/12/2021 {t}", mmsi=f"2190001{k:02d}", lat=f"55.20{k:02d}", name=f"V{k}")
+            for k, t in enumerate(("00:00:05", "00:00:12", "12:00:00", "12:00:20", "23:59:50", "23:59:58", "00:00:01"))
+        ])
+    params = job.JobParams(clean=DEC_2021, proximity=p)
+    whole = job.run(spark, str(data), str(tmp_path / "whole"), params)
+    for days in (["2021-12-14"], ["2021-12-12"], ["2021-12-13"], ["2021-12-12", "2021-12-14"]):
+        parts = job.run(spark, str(data), str(tmp_path / "parts"), params, days=days)
+    assert (parts.n_fixes, parts.n_candidates) == (whole.n_fixes, whole.n_candidates) and whole.n_candidates > 6
+
+    def stored(root):
+        return sorted(map(str, stores.read_candidates(spark, str(tmp_path / root / "candidates")).collect()))
+
+    assert stored("parts") == stored("whole")
+    assert parts.events.collect() == whole.events.collect()
+    # A day without data any more loses its rows.
+    write(data / "day13.csv", HEADER)
+    parts = job.run(spark, str(data), str(tmp_path / "parts"), params, days=["2021-12-13"])
+    whole = job.run(spark, str(data), str(tmp_path / "again"), params)
+    assert stored("parts") == stored("again") and parts.n_fixes == whole.n_fixes
+
+
 def test_pipeline_without_data_gives_empty_tables(spark, tmp_path):
     write(tmp_path / "a.csv", HEADER)
     result = job.run(spark, str(tmp_path), str(tmp_path / "out"))

@@ -19,13 +19,14 @@ def main() -> None:
     parser.add_argument("--year", type=int, default=int(env.get("TARGET_YEAR", "0")))
     parser.add_argument("--month", type=int, default=int(env.get("TARGET_MONTH", "12")))
     parser.add_argument("--events", type=int, default=1, help="how many events to report")
+    parser.add_argument("--days", nargs="+", metavar="yyyy-MM-dd", help="make only these days anew")
     args = parser.parse_args()
 
     spark = SparkSession.builder.appName("trackspark").getOrCreate()
     result = run(spark, args.data, args.output, JobParams(
         clean=CleanParams(year=args.year, month=args.month),
         events=EventParams(k=args.events),
-    ))
+    ), days=args.days)
     print(f"{result.n_fixes} fixes, {result.n_candidates} candidates")
     result.events.orderBy("min_distance_m").show(args.events, truncate=False)
 

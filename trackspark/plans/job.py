@@ -6,12 +6,16 @@ step at most, and no step repeats the join or the cleaning.
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trackspark.operators import clean, dedupe, events, names, proximity, tracks
 from trackspark.params import CleanParams, EventParams, ProximityParams, TrackParams
+from trackspark.schemas import CANDIDATE_SCHEMA, FIX_SCHEMA
 from trackspark.sources import reports, stores
 
 
@@ -41,21 +45,61 @@ def fixes_from_reports(typed: DataFrame, p: CleanParams = CleanParams()) -> Data
     return dedupe.dedupe_fixes(clean.clean_fixes(typed, p))
 
 
-def run(spark: SparkSession, data: str, output: str, p: JobParams = JobParams()) -> JobResult:
+def _shifted(days: Sequence[str], *by: int) -> list[str]:
+    found = {dt.date.fromisoformat(d) + dt.timedelta(days=n) for d in days for n in by}
+    return sorted(map(str, found))
+
+
+def _of_days(df: DataFrame, ts: str, days: Sequence[str]) -> DataFrame:
+    """Rows of some days; the range from first to last also reaches the reader."""
+    first, after = (F.lit(d).cast("timestamp") for d in (min(days), _shifted([max(days)], 1)[0]))
+    return df.filter((F.col(ts) >= first) & (F.col(ts) < after) & F.to_date(ts).cast("string").isin(*days))
+
+
+def _chosen(typed: DataFrame, days: Sequence[str] | None) -> DataFrame:
+    return typed if days is None else _of_days(typed, "ts", days)
+
+
+def _write(df: DataFrame, root: str, days: Sequence[str] | None, ts: str = "ts") -> None:
+    if days is None:
+        stores.write_by_day(df, root, ts)
+        return
+    stores.clear_days(df.sparkSession, root, FIX_SCHEMA if ts == "ts" else CANDIDATE_SCHEMA, days)
+    stores.write_by_day(_of_days(df, ts, days), root, ts, replace="days")
+
+
+def run(
+    spark: SparkSession, data: str, output: str, p: JobParams = JobParams(), days: Sequence[str] | None = None
+) -> JobResult:
     """Runs the whole pipeline; ``output`` is a folder all executors can reach.
 
     Writes ``fixes/``, ``candidates/``, ``events/``, ``events_json/`` and
     ``tracks/`` below it. No data gives empty tables, a missing path an error.
+
+    With ``days`` (``yyyy-MM-dd``) only the fixes of these days and the candidates they take
+    part in are made anew, an encounter that began before midnight among them; events
+    and tracks still come from the whole stores.
     """
     pin_utc(spark)
     fixes_root, candidates_root, events_root, tracks_root = (
         f"{output.rstrip('/')}/{t}" for t in ("fixes", "candidates", "events", "tracks")
     )
 
-    stores.write_by_day(fixes_from_reports(reports.read_reports(spark, data), p.clean), fixes_root)
+    if days is not None:
+        days = _shifted(days, 0)
+        if not days:
+            raise ValueError("days must name a day")
+    _write(fixes_from_reports(_chosen(reports.read_reports(spark, data), days), p.clean), fixes_root, days)
     fixes = stores.read_fixes(spark, fixes_root)
 
-    stores.write_by_day(proximity.find_candidates(fixes, p.proximity), candidates_root, ts="collision_ts")
+    touched, needed = days, fixes
+    if days is not None:
+        # As far as a pair may reach across midnight.
+        over = p.proximity.time_mode == "exact" or 86_400 % p.proximity.bucket_s
+        reach = -(-p.proximity.max_dt_s // 86_400) if over else 0
+        touched = _shifted(days, *range(-reach, 1))
+        needed = stores.read_fixes(spark, fixes_root, days=_shifted(touched, *range(reach + 1)))
+    _write(proximity.find_candidates(needed, p.proximity), candidates_root, touched, ts="collision_ts")
     candidates = stores.read_candidates(spark, candidates_root).drop("day")
 
     closest = events.closest_events(candidates, p.events)

@@ -31,6 +31,13 @@ def write_by_day(df: DataFrame, root: str, ts: str = "ts", replace: str = "all")
     )
 
 
+def clear_days(spark: SparkSession, root: str, schema: T.StructType, days: Sequence[str]) -> None:
+    """Empties days of a store, since a write of ``"days"`` leaves a day alone for which it has no rows."""
+    nothing = spark.createDataFrame([], schema)
+    for day in days:
+        nothing.write.mode("overwrite").parquet(f"{root}/day={day}")
+
+
 def _read_by_day(spark: SparkSession, root: str, schema: T.StructType, days: Sequence[str] | None) -> DataFrame:
     with_day = T.StructType([*schema.fields, T.StructField("day", T.DateType())])
     df = spark.read.schema(with_day).parquet(root)
