@@ -45,11 +45,12 @@ _PLACED = [
     "13450000 + (CAST(floor((fleet % 15694) / 118e0) AS BIGINT)) * 12000"
     " + (vc * 104729 + user_id * 17 + event_id * 7351) % 6000 AS lon_u",
 ]
-# Vessel 3 of each 40 has no name at all, others have one in their odd reports.
+# Vessel 3 of each 40 has no name at all, others have one in their odd reports; two reports in
+# three carry none, so the closest encounter needs its names looked up.
 _NAME = (
-    "CASE w WHEN 0 THEN 'Pilot 213 SE' WHEN 1 THEN 'KBV 302' WHEN 2 THEN 'CAESAR'"
+    "CASE WHEN vc % 3 <> 0 THEN NULL ELSE CASE w WHEN 0 THEN 'Pilot 213 SE' WHEN 1 THEN 'KBV 302' WHEN 2 THEN 'CAESAR'"
     " WHEN 3 THEN NULL WHEN 43 THEN 'Unknown' WHEN 4 THEN 'Unknown' WHEN 6 THEN ''"
-    " WHEN 9 THEN ' None ' ELSE concat('VESSEL ', CAST(user_id AS STRING)) END"
+    " WHEN 9 THEN ' None ' ELSE concat('VESSEL ', CAST(user_id AS STRING)) END END"
 )
 _SHIP_TYPE = (
     "CASE v WHEN 7 THEN 'Tug' WHEN 8 THEN 'Port tender' WHEN 12 THEN 'tug' WHEN 15 THEN NULL ELSE 'Cargo' END"
