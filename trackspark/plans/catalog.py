@@ -92,6 +92,12 @@ def all_tracks(spark: SparkSession, d: str) -> DataFrame:
 
 # --- reading and cleaning ---------------------------------------------------
 
+@query
+def normalise_headers(spark, d):
+    raw = {"Timestamp": "# Timestamp", "Type_of_mobile": "Type of mobile", "Navigational_status": "Navigational status", "Ship_type": "Ship type "}
+    return clean.normalise_headers(derived.reports(spark, d).withColumnsRenamed(raw))
+
+
 @query
 def coerce_fix_types(spark, d):
     return typed_reports(spark, d).select("event_id", "Latitude", "Longitude", "SOG", "COG", "Heading")

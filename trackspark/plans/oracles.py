@@ -197,6 +197,8 @@ def _bodies() -> dict[str, str]:
         "time_bucket": "SELECT event_id, CAST(floor(epoch(ts) / 60) AS BIGINT) AS time_bucket FROM fixes",
         "grid_cell": """SELECT event_id, CAST(floor(lat / 0.01e0) AS INTEGER) AS grid_x,
   CAST(floor(lon / 0.01e0) AS INTEGER) AS grid_y FROM fixes""",
+        "normalise_headers": """SELECT event_id, Timestamp, Type_of_mobile, MMSI, Latitude, Longitude, SOG, COG, Heading,
+  Navigational_status, Name, Ship_type FROM reports""",
         "neighbour_cells": """SELECT event_id, CAST(floor(lat / 0.01e0) AS INTEGER) + x.d AS join_gx,
   CAST(floor(lon / 0.01e0) AS INTEGER) + y.d AS join_gy
   FROM fixes, (VALUES (-1), (0), (1)) x(d), (VALUES (-1), (0), (1)) y(d)""",
