@@ -1,14 +1,16 @@
-"""The corpus pipeline: quality rules, SimHash near-duplicates, mixing, packing."""
+"""The corpus pipeline: quality rules, near-duplicates, mixing, packing."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackspark.llm import mixing, packing, quality_rules, shared, simhash
+from trackspark.llm import mixing, near_copies, packing, quality_rules, shared
 
-#: Near-duplicates of the pipeline: five-word shingles; texts alike to 0.8 differ in six bits or so.
+#: Near-duplicates of the pipeline: five-word shingles; SimHashes this near are compared besides MinHash candidates.
 WORDS, DISTANCE = 5, 6
+#: Exact Jaccard similarity of the shingles from which on texts are near copies.
+ALIKE = 0.8
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -25,8 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first row of each group of near copies."""
     docs, row = _numbered(docs)
-    found = simhash.near_duplicates(docs.select(F.col(row).alias("doc_id"), "text"), WORDS, DISTANCE)
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias(row))
+    first = near_copies.first_rows(docs.select(F.col(row).alias("doc_id"), "text"), WORDS, DISTANCE, ALIKE).withColumnRenamed("doc_id", row)
     return docs.join(first, row, "left_semi").select(*(f"`{c}`" for c in docs.columns if c != row))
 
 
