@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackspark.llm import chat_format, embeddings, language_model, mixing, packing, quality_rules, simhash, token_ids, url_filter, warc
+from trackspark.llm import chat_format, embeddings, language_model, mixing, packing, quality_rules, simhash, token_ids, url_filter, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,7 @@ _QUERIES: dict[str, Query] = {
     "op8_mixing": mixing.query,
     "op9_warc": warc.query,
     "op10_token_ids": token_ids.query,
+    "op11_whitening": whitening.query,
 }
 
 
