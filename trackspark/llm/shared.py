@@ -107,14 +107,15 @@ def meet(big: DataFrame, small: DataFrame, key: str, by: str, how: str = "inner"
     """``big`` joined with ``small`` on ``key``, a column of both that is unique in ``small``; no task holds a hot key whole.
 
     Keys of over 1 / ``parts`` of the rows of ``big`` are salted by the column ``by``, as often as they exceed that. They are
-    fewer than ``parts``, so the table of them that goes to all tasks has a fixed largest size.
+    fewer than ``parts``, so the table of them that goes to all tasks has a fixed largest size. Null keys match nothing and are spread, too.
     """
     held, much, salt = fresh(big.select("*", *(F.lit(0).alias(c) for c in small.columns if c not in big.columns)), "held", "much", "salt")
     n = big.count()
     hot = big.groupBy(F.col(key).alias(held)).agg(F.ceil(F.count("*") * parts / max(1, n)).cast("int").alias(much)).where(F.col(much) > 1)
     hot = F.broadcast(materialise(hot, "hot"))
     times = F.coalesce(much, F.lit(1))
-    left = big.join(hot, F.col(key) == F.col(held), "left").withColumn(salt, F.pmod(F.xxhash64(by), times).cast("int")).drop(held, much)
+    left = big.join(hot, F.col(key) == F.col(held), "left")
+    left = left.withColumn(salt, F.pmod(F.xxhash64(by), F.when(F.col(key).isNull(), parts).otherwise(times)).cast("int")).drop(held, much)
     right = small.join(hot, F.col(key) == F.col(held), "left").withColumn(salt, F.explode(F.sequence(F.lit(0), times - 1))).drop(held, much)
     return left.join(right, [key, salt], how).drop(salt)
 
