@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackspark.llm import chat_format, embeddings, filter_audit, language_model, mixing, packing, quality_rules, simhash, token_ids, url_filter, warc, whitening
+from trackspark.llm import chat_format, embeddings, filter_audit, language_model, mixing, packing, personal_data, quality_rules, simhash, token_ids, url_filter, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,7 @@ _QUERIES: dict[str, Query] = {
     "op10_token_ids": token_ids.query,
     "op11_whitening": whitening.query,
     "op12_filter_audit": filter_audit.query,
+    "op13_personal_data": personal_data.query,
 }
 
 
