@@ -1,8 +1,8 @@
 """Audit of filters that interact: which order removes what, from a sparse document-term matrix and one pass over flags.
 
-Words meet a global dictionary; the matrix stands in shards of compressed sparse rows, as Parquet lists: a row's word numbers
-and their counts. Sums and lengths of the rows decide on lengths and repetition, the other filters
-are flags. All orders follow from the number of documents with each set of failures.
+A dictionary numbers all words of the table: by a hash, after a shuffle of the words has shown which share theirs and need a number of
+their own. With it tasks build shards of the matrix as compressed sparse rows. Sums and lengths of the rows decide on length and repetition,
+the other filters are flags. All orders follow from the number of documents with each set of failures.
 """
 
 from __future__ import annotations
@@ -10,13 +10,12 @@ from __future__ import annotations
 import hashlib
 import itertools
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackspark.llm import shared
@@ -27,138 +26,165 @@ MARKS = b"#$%&*|"
 _MARK = np.zeros(256, bool)
 _MARK[list(MARKS)] = True
 
-_ROW = "shard long, place int, doc_id long, part string, digest binary, upper long, chars long, marked boolean, locals array<int>, counts array<int>"
-#: What a task writes: rows of its shards, and the words of each shard, which have ``word`` and ``place`` only.
-_LOCAL = f"{_ROW}, word binary"
+#: Words with a number of their own because their hash is another word's, too; so many go to all tasks.
+MOST_CLASHES = 100_000
 
 
-class _Shard:
-    """Rows of one shard while a task reads its texts; words are numbered by their first place in the shard."""
+@dataclass(frozen=True)
+class Hashing:
+    """How words get their numbers: ``bits`` (63 at most) of XXH64 with ``seed``."""
 
-    def __init__(self) -> None:
-        self.numbers: dict[bytes, int] = {}
-        self.rows, self.size = 0, 0
+    seed: int = 0
+    bits: int = 63
 
-    def row(self, words: list[bytes]) -> tuple[list[int], list[int]]:
-        found, numbers = Counter(words), self.numbers
-        return [numbers.setdefault(w, len(numbers)) for w in found], list(found.values())
+    def number(self, word: bytes) -> int:
+        import xxhash
 
+        return xxhash.xxh64_intdigest(word, self.seed) >> (64 - self.bits)
 
-def _local(docs: DataFrame, shard_bytes: int) -> DataFrame:
-    """Shards with numbers of their own: a row for each text, and one for each word of a shard."""
+
+class _Numbers(dict):
+    """Numbers of words, looked up or made when first asked for; forgotten beyond ``most`` words."""
+
+    def __init__(self, hashing: Hashing, clashes: dict[bytes, int], most: int = 1_000_000) -> None:
+        super().__init__(clashes)
+        self.hashing, self.clashes, self.most = hashing, clashes, most
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > self.most:
+            self.clear()
+            self.update(self.clashes)
+            if word in self.clashes:
+                return self.clashes[word]
+        number = self[word] = self.hashing.number(word)
+        return number
+
+
+def vocabulary(docs: DataFrame, hashing: Hashing = Hashing(), shard_bytes: int = 16 << 20) -> DataFrame:
+    """The dictionary's rows ``number``, ``word``: all different words of ``text``, each with its hash.
+
+    Tasks drop repeats within about ``shard_bytes`` of text; one shuffle by number brings the others together.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = TaskContext.get().partitionId() << 32
-        names = [f.split()[0] for f in _LOCAL.split(", ")]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
-        shard = _Shard()
+        found: set[bytes] = set()
+        size = 0
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for some in itertools.batched(found, 100_000):
+                numbers = np.fromiter(map(hashing.number, some), np.int64, len(some))
+                yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(some, pa.binary())], ["number", "word"])
+            found.clear()
+
+        for batch in batches:
+            for b in shared.pieces(batch, 0, 4 << 20):
+                for text in b.column(0).cast(pa.binary()).to_pylist():
+                    if text:
+                        found.update(text.split())
+                        size += len(text)
+                if size >= shard_bytes:
+                    yield from rows()
+                    size = 0
+        yield from rows()
+
+    words = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "number long, word binary")
+    return words.repartition("number").dropDuplicates(["number", "word"])
+
+
+def clashes(words: DataFrame, most: int = MOST_CLASHES) -> dict[bytes, int]:
+    """Numbers below 0 for the words of ``vocabulary`` that share their number with others.
+
+    Of n different words n * n / 2 ** 63 are expected to clash, so ``most`` is enough for 9 * 10 ** 11 words; words made to clash do so
+    for one seed only. More than ``most`` are an error.
+    """
+    twice = words.groupBy("number").agg(F.count("*").alias("n")).where("n > 1")  # no shuffle: they lie by number
+    numbers = [r["number"] for r in twice.select("number").limit(most + 1).collect()]
+    if len(numbers) > most:
+        raise ValueError("too many words clash; take another seed")
+    if not numbers:
+        return {}
+    few = words.join(F.broadcast(words.sparkSession.createDataFrame([(n,) for n in numbers], "number long")), "number")
+    own = sorted(bytes(r["word"]) for r in few.select("word").limit(2 * most + 1).collect())
+    if len(own) > 2 * most:
+        raise ValueError("too many words clash; take another seed")
+    return {w: -1 - k for k, w in enumerate(own)}
+
+
+@dataclass
+class Shard:
+    """Compressed sparse rows: the words of text k are ``terms[starts[k]:starts[k + 1]]``, as often as ``counts`` says there."""
+
+    starts: np.ndarray
+    terms: np.ndarray
+    counts: np.ndarray
 
-        def words() -> Iterator[pa.RecordBatch]:
-            for some in itertools.batched(shard.numbers, 50_000):
-                at = shard.numbers[some[0]]
-                given = {"shard": pa.array(np.full(len(some), first)), "place": pa.array(np.arange(at, at + len(some), dtype=np.int32)), "word": pa.array(some, pa.binary())}
-                yield pa.RecordBatch.from_arrays([given.get(n, pa.nulls(len(some), k)) for n, k in zip(names, kinds)], names)
+    def row_sums(self) -> np.ndarray:
+        total = np.concatenate([[0], np.cumsum(self.counts, dtype=np.int64)])
+        return total[self.starts[1:]] - total[self.starts[:-1]]
 
+    def nonzeros(self) -> np.ndarray:
+        return np.diff(self.starts)
+
+
+def shard_of(texts: list[bytes], numbers: _Numbers) -> Shard:
+    rows = [Counter(t.split()) for t in texts]
+    starts = np.concatenate([[0], np.cumsum([len(r) for r in rows], dtype=np.int64)])
+    terms = np.fromiter((numbers[w] for r in rows for w in r), np.int64, starts[-1])
+    return Shard(starts, terms, np.fromiter((c for r in rows for c in r.values()), np.int64, starts[-1]))
+
+
+def _shards(docs: DataFrame, told: Callable[[pa.RecordBatch, Shard], pa.RecordBatch], kind: str, hashing: Hashing, shard_bytes: int) -> DataFrame:
+    """``told`` of each batch of texts and its shard of the document-term matrix, whose numbers hold for all texts."""
+    numbers_of = clashes(vocabulary(docs, hashing, shard_bytes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = _Numbers(hashing, numbers_of)
         for batch in batches:
             for b in shared.pieces(batch, 2, min(shard_bytes, 4 << 20)):
                 data, at = shared.flat(b.column(2))
-                n = b.num_rows
-                sums = lambda hits: (c := np.concatenate([[0], np.cumsum(hits, dtype=np.int64)]))[at[1:]] - c[at[:-1]]
-                upper, marked = sums((data >= 65) & (data <= 90)), sums(_MARK[data]) > 0
-                chars = sums((data & 0xC0) != 0x80)
-                locals_, counts, ends, digests = [], [], [0], []
                 raw = data.tobytes()
-                for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
-                    text = raw[i:j]
-                    own, times = shard.row(text.split())
-                    locals_ += own
-                    counts += times
-                    ends.append(len(locals_))
-                    digests.append(hashlib.md5(text).digest())
-                offsets = pa.array(ends, pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(n, first)), pa.array(np.arange(shard.rows, shard.rows + n, dtype=np.int32)), b.column(0), b.column(1).cast(pa.string()), pa.array(digests, pa.binary()),
-                        pa.array(upper), pa.array(chars), pa.array(marked), *(pa.ListArray.from_arrays(offsets, pa.array(v, pa.int32())) for v in (locals_, counts)), pa.nulls(n, pa.binary()),
-                    ],
-                    names,
-                )
-                shard.rows, shard.size = shard.rows + n, shard.size + len(raw)
-                if shard.size >= shard_bytes:
-                    yield from words()
-                    shard, first = _Shard(), first + 1
-        yield from words()
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"), "text")
-    return rows.mapInArrow(run, _LOCAL)
-
-
-def _numbered(words: DataFrame) -> DataFrame:
-    """Add ``number`` to rows ``shard``, ``place``, ``word``: the same for the same word, from 0 on without gaps.
-
-    One shuffle brings a word's rows together, one for each shard that has it; they stand sorted, so a task numbers its words as they
-    pass, and the tasks' own numbers are then shifted by the words of the tasks before.
-    """
+                texts = [raw[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
+                sums = lambda hits: (c := np.concatenate([[0], np.cumsum(hits, dtype=np.int64)]))[at[1:]] - c[at[:-1]]
+                upper, chars, marked = sums((data >= 65) & (data <= 90)), sums((data & 0xC0) != 0x80), sums(_MARK[data]) > 0
+                digests = pa.array([hashlib.md5(t).digest() for t in texts], pa.binary())
+                flags = [b.column(0), b.column(1).cast(pa.string()), digests, pa.array(upper), pa.array(chars), pa.array(marked)]
+                yield told(pa.RecordBatch.from_arrays(flags, ["doc_id", "part", "digest", "upper", "chars", "marked"]), shard_of(texts, numbers))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, last, number = TaskContext.get().partitionId(), None, -1
-        for b in batches:
-            if not b.num_rows:
-                continue
-            word = b.column(2).cast(pa.large_binary())
-            new = np.ones(len(word), bool)
-            if len(word) > 1:
-                new[1:] = pc.not_equal(word[1:], word[:-1]).to_numpy(zero_copy_only=False)
-            new[0] = word[0].as_py() != last
-            numbers = number + np.cumsum(new)
-            number, last = int(numbers[-1]), word[-1].as_py()
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.full(len(word), task, np.int32)), pa.array(numbers)], ["shard", "place", "task", "own"])
-
-    sorted_ = words.select("shard", "place", "word").repartition("word").sortWithinPartitions("word")
-    found = shared.materialise(sorted_.mapInArrow(run, "shard long, place int, task int, own long"), "numbers")
-    before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
-    shift = found.groupBy("task").agg((F.max("own") + 1).alias("n")).select("task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
-    return found.join(F.broadcast(shift), "task").select("shard", "place", (F.col("own") + F.col("shift")).alias("number"))
-
-
-def document_terms(docs: DataFrame, shard_bytes: int = 16 << 20) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id long, part string, digest binary, upper long, chars long, marked boolean, {kind}")
+
+
+def document_terms(docs: DataFrame, hashing: Hashing = Hashing(), shard_bytes: int = 16 << 20) -> DataFrame:
     """The document-term matrix of ``docs`` (``doc_id``, ``lang``, ``text``): a row for each row of ``docs``.
 
-    Words are maximal runs without ASCII white space, case-sensitive. ``terms`` (array of long) are the global numbers of a text's
-    words, ascending, ``counts`` how often each occurs: a shard's lists, one after another, are its compressed sparse rows.
-    ``shard`` and ``place`` give a row's shard and its place there; a shard holds about ``shard_bytes`` of text, one text at least. Also
-    ``doc_id``, ``part`` (lang; null: empty), ``digest`` of the text, and ``upper`` (`[A-Z]`), ``chars`` (code points),
+    Words are maximal runs without ASCII white space, case-sensitive. ``terms`` (array of long) are the numbers that the dictionary of the
+    whole table gives a text's words, ``counts`` how often each occurs: lists of a file, one after another, are compressed sparse rows. Also
+    ``doc_id``, ``part`` (lang; null: empty), ``digest`` of the text, ``upper`` (`[A-Z]`), ``chars`` (code points) and
     ``marked`` (holds any of ``MARKS``). Null texts are empty; nothing is cut; an empty table gives no rows.
     """
-    local = shared.materialise(_local(docs, shard_bytes), "local-terms")
-    rows = local.where("word is null").drop("word")
-    numbers = _numbered(local.where("word is not null").select("shard", "place", "word"))
-
-    def remap(rows: pa.Table, numbers: pa.Table) -> pa.Table:
-        number = np.zeros(numbers.num_rows, np.int64)
-        number[numbers.column("place").to_numpy()] = numbers.column("number").to_numpy()
-        lists = rows.column("locals").combine_chunks()
-        sizes = np.diff(lists.offsets.to_numpy())
-        terms, counts = number[lists.flatten().to_numpy()], rows.column("counts").combine_chunks().flatten().to_numpy()
-        order = np.lexsort((terms, np.repeat(np.arange(len(sizes)), sizes)))
-        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-        out = rows.drop_columns(["locals", "counts"])
-        for name, values in (("terms", terms[order]), ("counts", counts[order])):
-            out = out.append_column(name, pa.ListArray.from_arrays(offsets, pa.array(values)))
-        return out
-
-    kind = _ROW.replace("locals array<int>", "terms array<long>")
-    return rows.groupBy("shard").cogroup(numbers.groupBy("shard")).applyInArrow(remap, kind)
-
-
-def failures(matrix: DataFrame, least_words: int = 100, distinct_percent: int = 80, upper_percent: int = 10) -> DataFrame:
+
+    def told(flags: pa.RecordBatch, s: Shard) -> pa.RecordBatch:
+        starts = pa.array(s.starts.astype(np.int32))
+        lists = [pa.ListArray.from_arrays(starts, pa.array(v)) for v in (s.terms, s.counts)]
+        return pa.RecordBatch.from_arrays([*flags.columns, *lists], [*flags.schema.names, "terms", "counts"])
+
+    return _shards(docs, told, "terms array<long>, counts array<long>", hashing, shard_bytes)
+
+
+def failures(docs: DataFrame, least_words: int = 100, distinct_percent: int = 80, upper_percent: int = 10, hashing: Hashing = Hashing(), shard_bytes: int = 16 << 20) -> DataFrame:
     """Rows ``doc_id``, ``part``, ``digest``, ``mask``: bits 1, 2, 4, 8 for failures of A, B, C, D.
 
-    A text's words are the sum of its row of the matrix, its distinct words the number of entries.
+    Words are the sum of a text's row of the document-term matrix, different words the number of its entries; tasks read
+    these off their shards, which are not written.
     """
-    n, distinct = F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c), F.size("terms")
-    m = matrix.select("doc_id", "part", "digest", "upper", "chars", "marked", n.alias("n"), distinct.alias("distinct"))
-    fails = [F.col("n") < least_words, 100 * F.col("distinct") < distinct_percent * F.col("n"), 100 * F.col("upper") > upper_percent * F.col("chars"), F.col("marked")]
+
+    def told(flags: pa.RecordBatch, s: Shard) -> pa.RecordBatch:
+        sums = [pa.array(s.row_sums()), pa.array(s.nonzeros())]
+        return pa.RecordBatch.from_arrays([*flags.columns, *sums], [*flags.schema.names, "words", "different"])
+
+    m = _shards(docs, told, "words long, different long", hashing, shard_bytes)
+    words = F.col("words")
+    fails = [words < least_words, 100 * F.col("different") < distinct_percent * words, 100 * F.col("upper") > upper_percent * F.col("chars"), F.col("marked")]
     mask = sum((F.when(f, 1 << k).otherwise(0) for k, f in enumerate(fails)), F.lit(0))
     return m.select("doc_id", "part", "digest", mask.alias("mask"))
 
@@ -215,7 +241,7 @@ def orders(counted: DataFrame) -> DataFrame:
     )
 
 
-def audit(docs: DataFrame, labels: DataFrame, **matrix: int) -> DataFrame:
+def audit(docs: DataFrame, labels: DataFrame, **matrix: object) -> DataFrame:
     """Rows ``part``, ``filter_order``, ``step`` and counts for the five filters over ``docs`` (``doc_id``, ``text``, ``lang``).
 
     Null texts are empty, so they fail A only (and E, where a smaller id has an empty or null text); null langs are the part of the
@@ -223,8 +249,7 @@ def audit(docs: DataFrame, labels: DataFrame, **matrix: int) -> DataFrame:
     A document is good or toxic if any of its rows in ``labels`` says 1. Parts are the langs that occur; an empty table gives no rows. Other
     columns are not read.
     """
-    terms = shared.materialise(document_terms(docs, **matrix), "document-terms")
-    return orders(shared.materialise(patterns(failures(terms), labels), "patterns"))
+    return orders(shared.materialise(patterns(failures(docs, **matrix), labels), "patterns"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
