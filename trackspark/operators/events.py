@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackspark.functions import text
 from trackspark.params import EventParams
-from trackspark.schemas import EVENT_SCHEMA
+from trackspark.schemas import CANDIDATE_SCHEMA, EVENT_SCHEMA, PAIR_DAY_SCHEMA
 
 PAIR = ["mmsi1", "mmsi2"]
 _CLOSEST_FIRST = ["dist_m", "ts1", "ts2"]
@@ -59,6 +61,28 @@ def closest_approach(candidates: DataFrame, p: EventParams = EventParams()) -> D
     )
 
 
+def pair_days(candidates: DataFrame) -> DataFrame:
+    """What the candidates say of each pair (``PAIR_DAY_SCHEMA``): their number, and the closest.
+
+    Of several days, or any other parts without a common candidate, :func:`approaches_of` makes what
+    :func:`closest_approach` makes of all candidates: counts add up, and the least of the least is the least.
+    """
+    closest = F.struct(*PAIR_DAY_SCHEMA["closest"].dataType.names)
+    return candidates.groupBy(*PAIR).agg(F.count("*").alias("n_obs"), F.min(closest).alias("closest"))
+
+
+def merge_pair_days(*parts: DataFrame) -> DataFrame:
+    """One row a pair from the rows of several parts, in any order and grouping."""
+    whole = reduce(DataFrame.unionByName, parts)
+    return whole.groupBy(*PAIR).agg(F.sum("n_obs").alias("n_obs"), F.min("closest").alias("closest"))
+
+
+def approaches_of(merged: DataFrame, p: EventParams = EventParams()) -> DataFrame:
+    """The closest approach of each transient pair, from its merged days."""
+    few = merged.filter(F.col("n_obs") <= p.max_obs)
+    return few.select(*[F.col(c) if c in PAIR else F.col(f"closest.{c}") for c in CANDIDATE_SCHEMA.names], "n_obs")
+
+
 def top_k_events(approaches: DataFrame, k: int) -> DataFrame:
     """The ``k`` closest approaches; ties go to the lower ids, then times."""
     return approaches.orderBy(*_RANKED).limit(k)

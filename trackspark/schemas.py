@@ -15,6 +15,11 @@ REPORT_TYPES: dict[str, T.DataType] = {
     "Heading": T.DoubleType(),
 }
 
+#: The report columns that anything here reads, as they are named after header normalisation.
+REPORT_COLUMNS = (
+    "Timestamp", "Type_of_mobile", "MMSI", "Latitude", "Longitude", "Navigational_status",
+    "SOG", "COG", "Heading", "Name", "Ship_type",
+)
 REQUIRED_REPORT_COLUMNS = ("Timestamp", "Latitude", "Longitude", "MMSI", "SOG", "COG")
 
 FIX_SCHEMA = T.StructType([
@@ -50,6 +55,25 @@ CANDIDATE_SCHEMA = T.StructType([
     T.StructField("collision_ts", T.TimestampType()),
 ])
 
+#: What one day's candidates say of a pair: how many there are, and the closest of them.
+PAIR_DAY_SCHEMA = T.StructType([
+    T.StructField("mmsi1", T.LongType()),
+    T.StructField("mmsi2", T.LongType()),
+    T.StructField("n_obs", T.LongType()),
+    T.StructField("closest", T.StructType([CANDIDATE_SCHEMA[c] for c in ("dist_m", "ts1", "ts2")] + [
+        f for f in CANDIDATE_SCHEMA if f.name not in ("mmsi1", "mmsi2", "dist_m", "ts1", "ts2")
+    ])),
+])
+
+MANIFEST_SCHEMA = T.StructType([
+    T.StructField("file", T.StringType()),
+    T.StructField("size", T.LongType()),
+    T.StructField("modified", T.TimestampType()),
+    T.StructField("first_ts", T.TimestampType()),
+    T.StructField("last_ts", T.TimestampType()),
+    T.StructField("n_reports", T.LongType()),
+])
+
 EVENT_SCHEMA = T.StructType([
     T.StructField("mmsi1", T.LongType()),
     T.StructField("mmsi2", T.LongType()),

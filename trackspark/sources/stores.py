@@ -4,27 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trackspark.operators.events import json_fields
-from trackspark.schemas import CANDIDATE_SCHEMA, EVENT_SCHEMA, FIX_SCHEMA, TRAJECTORY_SCHEMA
+from trackspark.schemas import CANDIDATE_SCHEMA, EVENT_SCHEMA, FIX_SCHEMA, PAIR_DAY_SCHEMA, TRAJECTORY_SCHEMA
 
 
-def write_by_day(df: DataFrame, root: str, ts: str = "ts", replace: str = "all") -> None:
-    """Writes a table partitioned by the day of ``ts``.
+def write_by_day(df: DataFrame, root: str, ts: str = "ts", replace: str = "all", counted: Observation | None = None) -> None:
+    """Writes a table partitioned by the day of ``ts``; ``counted`` observes the number of rows, ``n``.
 
     ``replace="all"`` overwrites the store, ``"days"`` only the days in ``df``.
     The rebalance hint gives each day files of about the advisory size: small
     days are not scattered over tasks, a day that holds much of the data is split.
     """
+    _write_days(df.withColumn("day", F.to_date(ts)), root, replace, counted)
+
+
+def _write_days(df: DataFrame, root: str, replace: str, counted: Observation | None = None) -> None:
     if replace not in ("all", "days"):
         raise ValueError(f"replace must be 'all' or 'days', not {replace!r}")
+    dealt = df.hint("rebalance", F.col("day"))
+    if counted is not None:
+        # Above the last shuffle, where a task that is run again counts once.
+        dealt = dealt.observe(counted, F.count("*").alias("n"))
     (
-        df.withColumn("day", F.to_date(ts))
-        .hint("rebalance", F.col("day"))
-        .write.mode("overwrite")
+        dealt.write.mode("overwrite")
         .option("partitionOverwriteMode", "static" if replace == "all" else "dynamic")
         .partitionBy("day")
         .parquet(root)
@@ -56,6 +62,16 @@ def read_candidates(spark: SparkSession, root: str, days: Sequence[str] | None =
     return _read_by_day(spark, root, CANDIDATE_SCHEMA, days)
 
 
+def write_pair_days(pairs: DataFrame, root: str, replace: str = "all") -> None:
+    """Writes rows of ``PAIR_DAY_SCHEMA`` with their ``day``; ``replace`` as for :func:`write_by_day`."""
+    _write_days(pairs, root, replace)
+
+
+def read_pair_days(spark: SparkSession, root: str, days: Sequence[str] | None = None) -> DataFrame:
+    """Stored days of pairs, one row for each pair and day."""
+    return _read_by_day(spark, root, PAIR_DAY_SCHEMA, days)
+
+
 def read_events(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(EVENT_SCHEMA).parquet(root)
 
