@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackspark.functions import text
@@ -34,15 +34,11 @@ def persistent_pairs(candidates: DataFrame, p: EventParams = EventParams()) -> D
 def candidates_of_transient_pairs(candidates: DataFrame, p: EventParams = EventParams()) -> DataFrame:
     """All candidates of the transient pairs, from one shuffle of ``candidates``.
 
+    The rows of a pair are counted where they lie; a busy pair spills to disk there.
     :func:`closest_approach` does not need this step.
     """
-    dealt = candidates.hint("rebalance", *map(F.col, PAIR))
-    # The hash reads all columns, so both uses ask the same of the shuffle and share it.
-    counted = dealt.groupBy(*PAIR).agg(
-        F.count("*").alias("n_obs"), F.max(F.xxhash64(*candidates.columns)).alias("any_row")
-    )
-    few = counted.filter((F.col("n_obs") <= p.max_obs) & F.col("any_row").isNotNull())
-    return dealt.join(few, PAIR, "left_semi")
+    counted = candidates.withColumn("n_obs", F.count("*").over(Window.partitionBy(*PAIR)))
+    return counted.filter(F.col("n_obs") <= p.max_obs).drop("n_obs")
 
 
 def closest_approach(candidates: DataFrame, p: EventParams = EventParams()) -> DataFrame:
@@ -61,14 +57,14 @@ def closest_approach(candidates: DataFrame, p: EventParams = EventParams()) -> D
     )
 
 
-def pair_days(candidates: DataFrame) -> DataFrame:
-    """What the candidates say of each pair (``PAIR_DAY_SCHEMA``): their number, and the closest.
+def pair_days(candidates: DataFrame, *by: str) -> DataFrame:
+    """What the candidates say of each pair, and of each ``by`` (``PAIR_DAY_SCHEMA``): their number, and the closest.
 
     Of several days, or any other parts without a common candidate, :func:`approaches_of` makes what
     :func:`closest_approach` makes of all candidates: counts add up, and the least of the least is the least.
     """
     closest = F.struct(*PAIR_DAY_SCHEMA["closest"].dataType.names)
-    return candidates.groupBy(*PAIR).agg(F.count("*").alias("n_obs"), F.min(closest).alias("closest"))
+    return candidates.groupBy(*PAIR, *by).agg(F.count("*").alias("n_obs"), F.min(closest).alias("closest"))
 
 
 def merge_pair_days(*parts: DataFrame) -> DataFrame:

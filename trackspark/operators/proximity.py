@@ -7,28 +7,30 @@ fixes in different cells exactly one reaches forward to the other, so each pair
 is found once. With the default cells that is about 1.7 copies per fix.
 
 The join key is equality on integers; gap, distance and identity are the residual
-condition of the same join, so no candidate that fails them leaves it. The most
-crowded cells are split: their rows are dealt out, and what reaches the cell goes to
-each part.
+condition of the same join, so no candidate that fails them leaves it.
+
+Crowded cells are found by one count and taken out of that join. In them positions meet
+before fixes do, and the cell is split: its positions are dealt out, and what reaches the
+cell goes to each part.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from functools import reduce
+import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackspark.functions import geo, timegrid
+from trackspark.functions import geo
 from trackspark.operators.clean import filter_service_vessels
-from trackspark.params import ProximityParams
+from trackspark.params import EARTH_RADIUS_M, ProximityParams
 from trackspark.schemas import CANDIDATE_SCHEMA
 
 _CARRIED = ("mmsi", "ts", "lat", "lon", "sog", "name")
 _KEY = ("bucket", "band", "col")
-#: Cells that may be split. A cell outside this many largest ones holds no more than this part of all rows.
-_SPLIT_CELLS = 10_000
+#: Up to this many crowded cells go to all tasks; more of them are joined by shuffle.
+BROADCAST_CELLS = 100_000
 
 
 def with_cells(df: DataFrame, cell_deg: float = 0.01) -> DataFrame:
@@ -48,17 +50,31 @@ def neighbour_cells(df: DataFrame, cell_deg: float = 0.01, radius: int = 1) -> D
     return df.withColumn("join_gx", around("lat")).withColumn("join_gy", around("lon"))
 
 
+# The join's expressions are SQL text: a plan of this size takes longer to build from single columns than small tables take to join.
+
+def _number(x: float) -> str:
+    return f"{float(x)!r}D"
+
+
+def _band(lat: str, p: ProximityParams) -> str:
+    return f"cast(floor({lat} / {_number(p.cell_deg)}) AS int)"
+
+
+def _column(lon: str, band: str, p: ProximityParams) -> str:
+    """As :func:`trackspark.functions.geo.band_column`."""
+    size = _number(p.cell_deg)
+    return f"cast(floor({lon} * cos(radians(({band} + 0.5D) * {size})) / {size}) AS int)"
+
+
+def _bucket(sec: str, p: ProximityParams) -> str:
+    return f"coalesce(floor({sec} / {p.bucket_s}), 0L)"
+
+
 def _keyed(fixes: DataFrame, p: ProximityParams) -> DataFrame:
-    band = geo.grid_cell(F.col("lat"), p.cell_deg)
-    return (
-        # All conditions that joins would infer stand here, so that what reads it keeps one plan.
-        fixes.filter((F.col("sog") >= p.min_sog) & F.col("ts").isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull())
-        .select(*_CARRIED, timegrid.known_epoch_s(F.col("ts")).alias("sec"), band.alias("band"))
-        .withColumns({
-            "bucket": timegrid.known_time_bucket(F.col("sec"), p.bucket_s),
-            "col": geo.band_column(F.col("lon"), F.col("band"), p.cell_deg),
-        })
-    )
+    # All conditions that joins would infer stand here, so that what reads it keeps one plan.
+    moving = fixes.filter(f"sog >= {_number(p.min_sog)} AND ts IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL")
+    keyed = moving.selectExpr(*_CARRIED, "coalesce(unix_timestamp(ts), 0L) AS sec", f"{_band('lat', p)} AS band")
+    return keyed.selectExpr("*", f"{_bucket('sec', p)} AS bucket", f"{_column('lon', 'band', p)} AS col")
 
 
 def _reaching(keyed: DataFrame, p: ProximityParams) -> DataFrame:
@@ -68,142 +84,141 @@ def _reaching(keyed: DataFrame, p: ProximityParams) -> DataFrame:
     is the longitude it reaches from. Inside one band only rows from the east do so, since
     two rows would else meet twice.
     """
-    lat, lon, reach = F.col("lat"), F.col("seen_lon"), F.col("lon_reach")
-    high_lat = geo.lat_reach_deg(p.max_dist_m)
-    copies = keyed.withColumns({
-        "own_bucket": F.col("bucket"),
-        "own_band": F.col("band"),
-        "own_col": F.col("col"),
-        "lon_reach": geo.lon_reach_deg(lat, p.max_dist_m),
-    })
-    if p.time_mode == "exact":
-        last = timegrid.known_time_bucket(F.col("sec") + p.max_dt_s, p.bucket_s)
-        copies = copies.withColumn("bucket", F.explode(F.sequence("own_bucket", last)))
-
-    same_bucket = F.col("bucket") == F.col("own_bucket")
-    first_band = F.when(same_bucket, F.col("own_band")).otherwise(
-        geo.grid_cell(lat - high_lat, p.cell_deg)
+    high = _number(geo.lat_reach_deg(p.max_dist_m))
+    ratio = f"({_number(math.sin(p.max_dist_m / EARTH_RADIUS_M))} / cos(radians(lat)))"
+    reach = f"degrees(asin(least({ratio}, 1D))) * {_number(1 + 1e-9)} + {_number(1e-12)}"
+    copies = keyed.selectExpr(
+        "* EXCEPT (bucket, band, col)", "bucket AS own_bucket", "band AS own_band", "col AS own_col",
+        # Half the globe round a pole.
+        f"CASE WHEN {ratio} >= 0 AND {ratio} < 1 THEN {reach} ELSE 180D END AS lon_reach",
+        f"explode(sequence(bucket, {_bucket(f'(sec + {p.max_dt_s})', p)})) AS bucket" if p.time_mode == "exact" else "bucket",
     )
-    last_band = geo.grid_cell(lat + high_lat, p.cell_deg)
-    copies = copies.withColumn("band", F.explode(F.sequence(first_band, last_band)))
-
-    same_band = same_bucket & (F.col("band") == F.col("own_band"))
-    east, west = F.col("lon") + reach > 180, (F.col("lon") - reach < -180) & ~same_band
-    own, minus, plus = F.col("lon"), F.col("lon") - 360, F.col("lon") + 360
-    copies = copies.withColumn("seen_lon", F.explode(
-        F.when(east & west, F.array(own, minus, plus)).when(east, F.array(own, minus))
-        .when(west, F.array(own, plus)).otherwise(F.array(own))
-    ))
-
-    there = lon == F.col("lon")
-    first_col = F.when(same_band & there, F.col("own_col")).otherwise(
-        geo.band_column(F.greatest(lon - reach, F.lit(-180.0)), F.col("band"), p.cell_deg)
+    first_band = f"CASE WHEN bucket = own_bucket THEN own_band ELSE {_band(f'(lat - {high})', p)} END"
+    copies = copies.selectExpr("*", f"explode(sequence({first_band}, {_band(f'(lat + {high})', p)})) AS band")
+    same_band = "(bucket = own_bucket AND band = own_band)"
+    east, west = "lon + lon_reach > 180", f"(lon - lon_reach < -180 AND NOT {same_band})"
+    copies = copies.selectExpr("*", f"""explode(CASE WHEN {east} AND {west} THEN array(lon, lon - 360, lon + 360)
+        WHEN {east} THEN array(lon, lon - 360) WHEN {west} THEN array(lon, lon + 360) ELSE array(lon) END) AS seen_lon""")
+    own_side = f"{same_band} AND seen_lon = lon"
+    first = f"CASE WHEN {own_side} THEN own_col ELSE {_column('greatest(seen_lon - lon_reach, -180D)', 'band', p)} END"
+    copies = copies.selectExpr("*", f"explode(sequence({first}, {_column('least(seen_lon + lon_reach, 180D)', 'band', p)})) AS col")
+    return copies.selectExpr("* EXCEPT (own_bucket, own_band, own_col)", f"{own_side} AND col = own_col AS home")
+
+
+def _crowded(keyed: DataFrame, fixes: DataFrame, p: ProximityParams) -> DataFrame:
+    """Cells of more than ``crowd`` fixes, with the number of parts they are split into.
+
+    A table with fewer fixes than ``crowd * BROADCAST_CELLS`` has no more such cells than go to all
+    tasks, which the limit tells Spark. Where the size estimate leaves that open they are counted first.
+    """
+    # Counting a column of the rows keeps their plan, so that its shuffle is reused.
+    cells = keyed.groupBy(*_KEY).agg(F.expr("count(sec) AS n")).filter(f"n > {p.crowd}")
+    cells = cells.selectExpr(*_KEY, f"cast(ceil(n / {p.crowd}) AS int) AS parts")
+    # A fix takes a byte at least, however the table is stored.
+    bytes_ = int(str(fixes._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if bytes_ >= p.crowd * BROADCAST_CELLS and cells.limit(BROADCAST_CELLS + 1).count() > BROADCAST_CELLS:
+        return cells
+    # In a fixed order, so that both uses agree even if the estimate was wrong.
+    return F.broadcast(cells.orderBy(F.desc("parts"), *_KEY).limit(BROADCAST_CELLS))
+
+
+def _within(p: ProximityParams) -> str:
+    """Rows ``a_*`` in a cell and ``b_*`` that reach it lie within the distance limits."""
+    east = "abs(a_lon - b_seen_lon)"
+    # Grows with the distance, so the limits are two constants.
+    chord = (
+        "(pow(sin(radians(b_lat - a_lat) / 2), 2)"
+        " + cos(radians(a_lat)) * cos(radians(b_lat)) * pow(sin(radians(b_lon - a_lon) / 2), 2))"
     )
-    last_col = geo.band_column(F.least(lon + reach, F.lit(180.0)), F.col("band"), p.cell_deg)
-    copies = copies.withColumn("col", F.explode(F.sequence(first_col, last_col)))
-    return copies.withColumn("home", same_band & there & (F.col("col") == F.col("own_col"))).drop(
-        "own_bucket", "own_band", "own_col"
+    # Plain comparisons first: they settle most rows before the trigonometry.
+    # Just half the globe apart, rows meet on their own side of the line only.
+    return (
+        f"abs(a_lat - b_lat) <= {_number(geo.lat_reach_deg(p.max_dist_m))} AND {east} <= b_lon_reach"
+        f" AND (b_seen_lon = b_lon OR {east} < 180)"
+        f" AND {chord} > {_number(geo.half_chord2_of(p.min_dist_m))} AND {chord} <= {_number(geo.half_chord2_of(p.max_dist_m))}"
     )
 
 
-def _meet(
-    places: DataFrame, p: ProximityParams, carried: Sequence[str],
-    apart: Callable[[dict[str, Column], dict[str, Column], Column], Column],
-) -> DataFrame:
-    """Rows of ``places`` within the distance limits, as columns ``a_*`` and ``b_*``.
+def _sides(here: DataFrame, there: DataFrame, cell: Sequence[str], carried: Sequence[str]) -> tuple[DataFrame, DataFrame, str]:
+    """The rows of cells as ``a_*``, those that reach them as ``b_*``, and that they meet in a cell."""
+    here = here.selectExpr(*cell, *[f"{c} AS a_{c}" for c in carried])
+    way = ["home", "seen_lon AS b_seen_lon", "lon_reach AS b_lon_reach"]
+    there = there.selectExpr(*[f"{k} AS to_{k}" for k in cell], *way, *[f"{c} AS b_{c}" for c in carried])
+    return here, there, " AND ".join(f"{k} = to_{k}" for k in cell)
 
-    ``apart`` gives the condition on a row ``a`` in its cell, a row ``b`` that
-    reaches it, and whether the cell is ``b``'s own: there two rows meet twice,
-    elsewhere once and in either order.
 
-    Cells of more than ``crowd`` rows are split into parts of about that size. The table of
-    them has a fixed largest size, which lets Spark broadcast it.
-    """
-    # Counting a column of the rows keeps their plan, so that its shuffle is reused.
-    crowded = places.groupBy(*_KEY).agg(F.count("sec").alias("n")).filter(F.col("n") > p.crowd)
-    crowded = crowded.orderBy(F.desc("n"), *_KEY).limit(_SPLIT_CELLS).select(
-        *_KEY, F.ceil(F.col("n") / p.crowd).cast("int").alias("parts")
-    )
-    parts = F.coalesce("parts", F.lit(1))
-    here = places.join(crowded, [*_KEY], "left").select(
-        *_KEY, F.pmod(F.xxhash64("lat", "lon"), parts).cast("int").alias("part"),
-        *[F.col(c).alias(f"a_{c}") for c in carried],
+def _meet_directly(keyed: DataFrame, crowded: DataFrame, p: ProximityParams) -> DataFrame:
+    """Pairs of fixes that meet in the cells that are not crowded."""
+    here, there, same = _sides(
+        keyed.join(crowded, [*_KEY], "left_anti"), _reaching(keyed, p).join(crowded, [*_KEY], "left_anti"), _KEY, (*_CARRIED, "sec")
     )
-    there = _reaching(places, p).join(crowded, [*_KEY], "left").withColumn(
-        "part", F.explode(F.sequence(F.lit(0), parts - 1))
-    ).select(
-        *[F.col(k).alias(f"to_{k}") for k in (*_KEY, "part")],
-        "home", F.col("seen_lon").alias("b_seen_lon"),
-        F.col("lon_reach").alias("b_lon_reach"),
-        *[F.col(c).alias(f"b_{c}") for c in carried],
-    )
-    a, b = ({c: F.col(f"{side}_{c}") for c in carried} for side in "ab")
-    east = F.abs(a["lon"] - F.col("b_seen_lon"))
-    # Grows with the distance, so the limits are two constants.
-    chord = geo.half_chord2(a["lat"], a["lon"], b["lat"], b["lon"])
-    condition = (
-        (F.col("bucket") == F.col("to_bucket"))
-        & (F.col("band") == F.col("to_band"))
-        & (F.col("col") == F.col("to_col"))
-        & (F.col("part") == F.col("to_part"))
-        & apart(a, b, F.col("home"))
-        # Plain comparisons first: they settle most rows before the trigonometry.
-        & (F.abs(a["lat"] - b["lat"]) <= geo.lat_reach_deg(p.max_dist_m))
-        & (east <= F.col("b_lon_reach"))
-        # Just half the globe apart, rows meet on their own side of the line only.
-        & ((F.col("b_seen_lon") == b["lon"]) | (east < 180))
-        & (chord > geo.half_chord2_of(p.min_dist_m))
-        & (chord <= geo.half_chord2_of(p.max_dist_m))
-    )
-    return here.join(there, condition, "inner")
+    # In its own cell two rows meet twice, elsewhere once and in either order.
+    other = "CASE WHEN home THEN a_mmsi < b_mmsi ELSE a_mmsi <> b_mmsi END"
+    return here.join(there, F.expr(f"{same} AND abs(a_sec - b_sec) <= {p.max_dt_s} AND {_within(p)} AND {other}"), "inner")
+
+
+_PLACE = ("at_bucket", "lat", "lon")
+# What tells the rows apart that reach a cell from one place.
+_WAY = ("home", "seen_lon")
+
 
+def _in_crowded(keyed: DataFrame, crowded: DataFrame, p: ProximityParams) -> tuple[DataFrame, DataFrame]:
+    """The fixes in crowded cells, and the copies of fixes that reach them."""
+    at = keyed.selectExpr("*", "bucket AS at_bucket")
+    return at.join(crowded, [*_KEY]), _reaching(at, p).join(crowded, [*_KEY])
 
-def _meet_by_position(keyed: DataFrame, p: ProximityParams) -> DataFrame:
-    """Pairs of fixes by way of pairs of positions.
 
-    A position is one row per time bucket however many vessels report it, so
-    those that share it are never compared with each other.
+def _near_positions(here: DataFrame, there: DataFrame, p: ProximityParams) -> DataFrame:
+    """Pairs of positions that meet in crowded cells: ``a_near_*``, ``b_near_*``, the cell and the way to it.
+
+    A position is one row per time bucket and cell however many vessels report it.
     """
-    position = ["bucket", "lat", "lon"]
-    places = keyed.groupBy(*_KEY, "lat", "lon").agg(
-        # The latest fix there reaches farthest in time. Its other columns keep this
-        # side's input the same as the members', so one shuffle of fixes serves both.
-        F.max(F.struct("sec", *(c for c in _CARRIED if c not in ("lat", "lon")))).alias("latest")
-    ).select(*_KEY, "lat", "lon", F.col("latest.sec").alias("sec"), F.col("bucket").alias("at_bucket"))
-    near = _meet(
-        places, p, ["at_bucket", "lat", "lon", "sec"],
-        lambda a, b, home: ~home | (F.struct(a["lat"], a["lon"]) < F.struct(b["lat"], b["lon"])),
-    ).select(*[F.col(f"{s}_{c}").alias(f"{s}_near_{c}") for s in "ab" for c in ("at_bucket", "lat", "lon")])
-
-    def members(side: str) -> DataFrame:
-        return keyed.select(*[F.col(c).alias(f"{side}_{c}") for c in (*_CARRIED, "sec", "bucket")])
-
-    def at(side: str) -> Column:
-        named = zip((f"{side}_{c}" for c in position), (f"{side}_near_{c}" for c in ("at_bucket", "lat", "lon")))
-        return reduce(lambda x, y: x & y, [F.col(m) == F.col(n) for m, n in named])
-
-    return near.join(members("a"), at("a"), "inner").join(
-        members("b"),
-        at("b")
-        & (F.col("a_mmsi") != F.col("b_mmsi"))
-        & (F.abs(F.col("a_sec") - F.col("b_sec")) <= p.max_dt_s),
-        "inner",
-    )
+    here = here.groupBy(*_KEY, *_PLACE).agg(F.expr("max(parts) AS parts"))
+    here = here.selectExpr("*", "cast(pmod(xxhash64(lat, lon), parts) AS int) AS part")
+    there = there.groupBy(*_KEY, *_PLACE, *_WAY, "lon_reach").agg(F.expr("max(parts) AS parts"))
+    there = there.selectExpr("*", "explode(sequence(0, parts - 1)) AS part")
+    here, there, same = _sides(here, there, (*_KEY, "part"), _PLACE)
+    once = "(NOT home OR struct(a_lat AS lat, a_lon AS lon) < struct(b_lat AS lat, b_lon AS lon))"
+    near = here.join(there, F.expr(f"{same} AND {once} AND {_within(p)}"), "inner")
+    places = [f"{side}_{c} AS {side}_near_{c}" for side in "ab" for c in _PLACE]
+    return near.selectExpr(*[f"{k} AS near_{k}" for k in _KEY], "home AS near_home", "b_seen_lon AS near_seen_lon", *places)
+
+
+def _meet_by_position(keyed: DataFrame, crowded: DataFrame, p: ProximityParams) -> DataFrame:
+    """Pairs of fixes that meet in crowded cells, by way of pairs of positions.
+
+    Vessels that share a position are never compared with each other. Every input
+    goes through the table of crowded cells first, so where that is empty nothing else runs.
+    """
+    here, there = _in_crowded(keyed, crowded, p)
+    near = _near_positions(here, there, p)
+
+    def members(rows: DataFrame, side: str, more: Sequence[str]) -> tuple[DataFrame, str]:
+        named = {**{k: f"near_{k}" for k in (*_KEY, *more)}, **{c: f"{side}_near_{c}" for c in _PLACE}}
+        rows = rows.selectExpr(*[f"{c} AS {side}_{c}" for c in (*_CARRIED, "sec")], *[f"{c} AS {side}_by_{c}" for c in named])
+        return rows, " AND ".join(f"{side}_by_{c} = {n}" for c, n in named.items())
+
+    (a, at_a), (b, at_b) = members(here, "a", ()), members(there, "b", _WAY)
+    apart = f"a_mmsi <> b_mmsi AND abs(a_sec - b_sec) <= {p.max_dt_s}"
+    met = near.join(a, F.expr(at_a), "inner").join(b, F.expr(f"{at_b} AND {apart}"), "inner")
+    return met.select(*_MET)
+
+
+_MET = [f"{side}_{c}" for side in "ab" for c in (*_CARRIED, "sec")]
 
 
 def _as_candidates(met: DataFrame) -> DataFrame:
-    a, b = ({c: F.col(f"{side}_{c}") for c in (*_CARRIED, "sec")} for side in "ab")
-    swapped = a["mmsi"] > b["mmsi"]
     found = {
-        **{f"{c}1": F.when(swapped, b[c]).otherwise(a[c]) for c in _CARRIED},
-        **{f"{c}2": F.when(swapped, a[c]).otherwise(b[c]) for c in _CARRIED},
-        "dt_sec": F.abs(a["sec"] - b["sec"]),
-        "dist_m": geo.haversine_m(a["lat"], a["lon"], b["lat"], b["lon"]),
-        "collision_lat": geo.midpoint(a["lat"], b["lat"]),
-        "collision_lon": geo.mid_longitude(a["lon"], b["lon"]),
-        "collision_ts": F.least(a["ts"], b["ts"]),
+        **{f"{c}{i}": f"if(a_mmsi > b_mmsi, {other}_{c}, {side}_{c})" for c in _CARRIED for i, side, other in ((1, "a", "b"), (2, "b", "a"))},
+        "dt_sec": "abs(a_sec - b_sec)",
+        "collision_ts": "least(a_ts, b_ts)",
+    }
+    columns = {
+        "dist_m": geo.haversine_m(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")),
+        "collision_lat": geo.midpoint(F.col("a_lat"), F.col("b_lat")),
+        "collision_lon": geo.mid_longitude(F.col("a_lon"), F.col("b_lon")),
     }
-    return met.select(*[found[n].alias(n) for n in CANDIDATE_SCHEMA.names])
+    return met.select(*[F.expr(f"{found[n]} AS {n}") if n in found else columns[n].alias(n) for n in CANDIDATE_SCHEMA.names])
 
 
 def proximity_pairs(fixes: DataFrame, p: ProximityParams = ProximityParams()) -> DataFrame:
@@ -214,11 +229,13 @@ def proximity_pairs(fixes: DataFrame, p: ProximityParams = ProximityParams()) ->
     each pair of fixes appears once, across +-180 degrees and the poles too. Longitudes
     run from -180 to 180.
 
-    Positions meet first, then the fixes at them, so vessels piled up on one identical
-    position are never compared with each other; inside a cell the work is within a
-    constant factor of the pairs of positions it holds.
+    Fixes meet in their cells; in cells of more than ``crowd`` fixes positions do first, so vessels
+    piled up on one identical position are never compared with each other, and the cell is split among tasks.
     """
-    return _as_candidates(_meet_by_position(_keyed(fixes, p), p))
+    keyed = _keyed(fixes, p)
+    crowded = _crowded(keyed, fixes, p)
+    met = _meet_directly(keyed, crowded, p).select(*_MET)
+    return _as_candidates(met.union(_meet_by_position(keyed, crowded, p)))
 
 
 def find_candidates(fixes: DataFrame, p: ProximityParams = ProximityParams()) -> DataFrame:

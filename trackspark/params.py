@@ -140,6 +140,22 @@ class EventParams:
     k: int = 1
 
 
+@dataclass(frozen=True)
+class VoyageParams:
+    """What a voyage can be: speeds between positions, near-equal reports, lying still, silence."""
+
+    max_kn: float = 102.0
+    patience: int = 2
+    repeat_s: int = 1
+    repeat_m: float = 10.0
+    still_kn: float = 0.5
+    silence_s: int = 600
+
+    def __post_init__(self) -> None:
+        if min(self.max_kn, self.patience, self.silence_s) <= 0 or min(self.repeat_s, self.repeat_m, self.still_kn) < 0:
+            raise ValueError("max_kn, patience and silence_s must be positive, the rest not negative")
+
+
 @dataclass(frozen=True)
 class TrackParams:
     """Half length of the track cut out around an event."""

@@ -4,20 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from trackspark.functions import geo, text, timegrid
-from trackspark.operators import clean, dedupe, events, names, proximity, tracks
-from trackspark.params import CleanParams, EventParams, ProximityParams
+from trackspark.operators import clean, dedupe, events, names, proximity, tracks, voyages
+from trackspark.params import CleanParams, EventParams, ProximityParams, VoyageParams
 from trackspark.plans import derived
 from trackspark.plans.job import pin_utc
+from trackspark.sources import folders, reports, stores
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 PERIOD = CleanParams(year=2021)
 ENCLOSING = CleanParams(year=2021, bbox="enclosing")
 EXACT = ProximityParams(time_mode="exact")
+SLOW = VoyageParams(max_kn=25.0)
+NEAR = VoyageParams(repeat_s=20, repeat_m=200.0)
 # Few enough observations that both kinds of pairs occur in the test tables.
 TRANSIENT = EventParams(max_obs=5)
 PAIR_KEY = ["mmsi1", "mmsi2", "ts1", "ts2"]
@@ -261,11 +264,6 @@ def proximity_pairs_exact(spark, d):
     return proximity.proximity_pairs(derived.unique_fixes(spark, d), EXACT)
 
 
-@query
-def proximity_pairs_shared_positions(spark, d):
-    return proximity.proximity_pairs(derived.unique_fixes(spark, d), ProximityParams(cell_deg=0.02))
-
-
 @query
 def pair_time_gap(spark, d):
     gap = timegrid.time_gap_s(F.col("ts1"), F.col("ts2")).alias("gap_s")
@@ -370,6 +368,112 @@ def event_display_fields(spark, d):
     return events.display_fields(transient_events(spark, d))
 
 
+def _pair_days(found):
+    return events.pair_days(found, "day")
+
+
+@query
+def pair_days(spark, d):
+    days = _pair_days(candidates(spark, d).withColumn("day", F.to_date("collision_ts")))
+    return days.select(*events.PAIR, "day", "n_obs", "closest.dist_m", "closest.ts1", "closest.ts2")
+
+
+# --- tables that were written and read back ---------------------------------
+
+@query
+def stored_reports(spark, d):
+    """CSV files, two with unlike headers, found and read by name."""
+    root = folders.new_folder(spark, "reports")
+    rows = derived.reports(spark, d).drop("event_id")
+    names = {"Timestamp": "# Timestamp", "Type_of_mobile": "Type of mobile", "Navigational_status": "Navigational status", "Ship_type": "Ship type"}
+    text = rows.withColumnsRenamed(names)
+    text.filter(F.col("MMSI").endswith("0")).select(*reversed(text.columns)).write.option("header", True).csv(f"{root}/first")
+    text.filter(~F.col("MMSI").endswith("0")).write.option("header", True).csv(f"{root}/second")
+    read = [reports.read_reports(spark, f"{root}/{part}") for part in ("first", "second")]
+    return read[0].unionByName(read[1]).select("ts", "MMSI", "Latitude", "Longitude", "SOG", "COG", "Heading", "Type_of_mobile")
+
+
+def _stored_fixes(spark, d):
+    root = folders.new_folder(spark, "fixes")
+    stores.write_by_day(cleaned_unique(spark, d), root)
+    return root
+
+
+@query
+def stored_fixes(spark, d):
+    return stores.read_fixes(spark, _stored_fixes(spark, d))
+
+
+@query
+def stored_fixes_of_days(spark, d):
+    return stores.read_fixes(spark, _stored_fixes(spark, d), days=["2021-12-01", "2021-12-02"])
+
+
+@query
+def replaced_days(spark, d):
+    """A store whose days are written again one after another, once with less."""
+    root = _stored_fixes(spark, d)
+    fixes = cleaned_unique(spark, d)
+    stores.write_by_day(fixes.filter((F.dayofmonth("ts") == 1) & (F.col("sog") > 10)), root, replace="days")
+    return stores.read_fixes(spark, root)
+
+
+@query
+def stored_candidates(spark, d):
+    root = folders.new_folder(spark, "candidates")
+    stores.write_by_day(candidates(spark, d), root, ts="collision_ts")
+    return stores.read_candidates(spark, root)
+
+
+@query
+def written_rows(spark, d):
+    """Counts that the writing jobs observe."""
+    told = []
+    for name, df, ts in (("fixes", cleaned_unique(spark, d), "ts"), ("candidates", candidates(spark, d), "collision_ts")):
+        counted = Observation()
+        stores.write_by_day(df, folders.new_folder(spark, name), ts, counted=counted)
+        told.append((name, counted.get["n"]))
+    return spark.createDataFrame(told, "name string, n long")
+
+
+@query
+def approaches_of_stored_days(spark, d):
+    """The closest approaches, from days of pairs written one by one and one of them twice."""
+    root = folders.new_folder(spark, "pair_days")
+    found = candidates(spark, d).withColumn("day", F.to_date("collision_ts"))
+    half = F.dayofmonth("collision_ts") % 2 == 0
+    for part in (half, ~half, half):
+        stores.write_pair_days(_pair_days(found.filter(part)), root, replace="days")
+    return events.approaches_of(events.merge_pair_days(stores.read_pair_days(spark, root).drop("day")), TRANSIENT)
+
+
+# --- voyages ----------------------------------------------------------------
+
+@query
+def flag_jumps(spark, d):
+    return voyages.flag_jumps(derived.unique_fixes(spark, d).select("mmsi", "ts", "lat", "lon"), SLOW)
+
+
+@query
+def collapse_repeats(spark, d):
+    return voyages.collapse_repeats(derived.unique_fixes(spark, d).select("mmsi", "ts", "lat", "lon", "sog", "name"), NEAR)
+
+
+def _lying_too(spark, d):
+    fixes = clean.clean_fixes(derived.reports(spark, d), PERIOD, keep=["event_id"], without=["moving", "nav_status"])
+    return dedupe.dedupe_fixes(fixes, ["event_id"]).drop("event_id")
+
+
+@query
+def movement_states(spark, d):
+    return voyages.movement_states(_lying_too(spark, d))
+
+
+@query
+def track_endings(spark, d):
+    return voyages.track_endings(transient_events(spark, d), voyages.movement_states(_lying_too(spark, d)))
+
+
 # --- tracks -----------------------------------------------------------------
 
 @query

@@ -93,10 +93,8 @@ def _write_pair_days(spark: SparkSession, candidates_root: str, pairs_root: str,
     # A day may have lost all its candidates.
     if days is not None:
         stores.clear_days(spark, pairs_root, PAIR_DAY_SCHEMA, days)
-    by_day = found.groupBy("day", *events.PAIR).agg(
-        F.count("*").alias("n_obs"), F.min(F.struct(*PAIR_DAY_SCHEMA["closest"].dataType.names)).alias("closest")
-    )
-    stores.write_pair_days(by_day.select(*PAIR_DAY_SCHEMA.names, "day"), pairs_root, "all" if days is None else "days")
+    by_day = events.pair_days(found, "day").select(*PAIR_DAY_SCHEMA.names, "day")
+    stores.write_pair_days(by_day, pairs_root, "all" if days is None else "days")
 
 
 def run(

@@ -105,6 +105,17 @@ def _ctes() -> str:
         "roles": """SELECT concat(mmsi1, '-', mmsi2) AS event_id, 'vessel1' AS role, mmsi1 AS vessel, collision_ts
   FROM ranked WHERE n_obs <= 5 UNION ALL
   SELECT concat(mmsi1, '-', mmsi2), 'vessel2', mmsi2, collision_ts FROM ranked WHERE n_obs <= 5""",
+        # Sailing, lying and silent vessels: the rules but for speed and status.
+        "lying": "SELECT mmsi_no AS mmsi, ts, lat, lon, sog_no AS sog, Navigational_status AS nav_status, event_id FROM typed WHERE "
+        + " AND ".join(f"({rule})" for name, rule in _RULES if name not in ("moving", "nav_status", "sog_anomaly")) + " AND sog_no <= 102e0",
+        "heard": f"""SELECT * EXCLUDE (rn), {_SEC},
+    CASE WHEN nav_status IN ({_STATUSES}) OR sog < 0.5e0 THEN 'stopped' ELSE 'under way' END AS state FROM (
+  SELECT *, row_number() OVER (PARTITION BY mmsi, ts ORDER BY event_id) AS rn FROM lying) WHERE rn = 1""",
+        "told": """SELECT *, lag(sec) OVER w AS before, lag(ts) OVER w AS before_ts, lag(state) OVER w AS was FROM heard WINDOW w AS (PARTITION BY mmsi ORDER BY sec)""",
+        "stretches": """SELECT mmsi, state, min(ts) AS from_ts, max(ts) AS to_ts, count(*) AS n_fixes FROM (
+    SELECT *, count(*) FILTER (was IS NULL OR was <> state OR sec - before > 600) OVER (PARTITION BY mmsi ORDER BY sec) AS stretch FROM told)
+  GROUP BY mmsi, state, stretch
+  UNION ALL SELECT mmsi, 'silent', before_ts, ts, 0 FROM told WHERE sec - before > 600""",
         "track": """SELECT event_id, role, mmsi, ts, lat, lon, sog, cog
   FROM roles JOIN (SELECT * EXCLUDE (event_id) FROM uniq) ON mmsi = vessel
    AND ts BETWEEN collision_ts - INTERVAL 10 MINUTE AND collision_ts + INTERVAL 10 MINUTE""",
@@ -159,6 +170,17 @@ _TRANSIENT = "(SELECT * FROM ranked WHERE n_obs <= 5)"
 _KEY = f"mmsi1, mmsi2, {_stamp('ts1')} AS ts1, {_stamp('ts2')} AS ts2"
 
 
+def _jumps() -> str:
+    far = _haversine("r.y", "r.x", "n.lat", "n.lon", "12742000e0") + " > 25e0 * 1852e0 / 3600e0 * greatest(n.sec - r.s, 1)"
+    return f""", numbered AS (SELECT mmsi, ts, lat, lon, sec, row_number() OVER (PARTITION BY mmsi ORDER BY sec) AS i FROM ufix),
+steps AS (
+  SELECT mmsi, ts, lat, lon, i, true AS plausible, sec AS s, lat AS y, lon AS x, 0 AS refused FROM numbered WHERE i = 1
+  UNION ALL
+  SELECT n.mmsi, n.ts, n.lat, n.lon, n.i, NOT bad, if(bad, r.s, n.sec), if(bad, r.y, n.lat), if(bad, r.x, n.lon), if(bad, r.refused + 1, 0)
+  FROM steps r JOIN numbered n ON n.mmsi = r.mmsi AND n.i = r.i + 1, LATERAL (SELECT r.refused < 2 AND {far} AS bad))
+SELECT mmsi, {_stamp('ts')} AS ts, round(lat, 8) AS lat, round(lon, 8) AS lon, plausible FROM steps"""
+
+
 def _bodies() -> dict[str, str]:
     return {
         "coerce_fix_types": f"""SELECT event_id, {_POINT}, round(sog_no, 8) AS SOG, round(cog_no, 8) AS COG,
@@ -204,7 +226,6 @@ def _bodies() -> dict[str, str]:
   FROM fixes, (VALUES (-1), (0), (1)) x(d), (VALUES (-1), (0), (1)) y(d)""",
         "proximity_pairs": _candidates("close"),
         "proximity_pairs_exact": _candidates("close_exact"),
-        "proximity_pairs_shared_positions": _candidates("close"),
         "pair_time_gap": f"SELECT {_KEY}, dt_sec AS gap_s FROM close",
         "pair_midpoint": f"""SELECT {_KEY}, round((lat1 + lat2) / 2e0, 8) AS mid_lat,
   round((lon1 + lon2) / 2e0, 8) AS mid_lon FROM close""",
@@ -213,6 +234,27 @@ def _bodies() -> dict[str, str]:
         "find_candidates_exact": _candidates("cand_exact"),
         "dedupe_candidates": _candidates("close_exact"),
         "union_daily_candidates": _candidates("cand"),
+        "pair_days": f"""SELECT {_PAIR}, strftime(collision_ts, '%Y-%m-%d') AS day, count(*) AS n_obs, round(min(dist_m), 3) AS dist_m,
+  {_stamp('arg_min(ts1, dist_m)')} AS ts1, {_stamp('arg_min(ts2, dist_m)')} AS ts2 FROM cand GROUP BY mmsi1, mmsi2, day""",
+        "approaches_of_stored_days": _candidates(_TRANSIENT, ", n_obs"),
+        "stored_reports": f"""SELECT {_stamp('ts')} AS ts, MMSI, {_POINT}, round(sog_no, 8) AS SOG, round(cog_no, 8) AS COG,
+  round(heading_no, 8) AS Heading, Type_of_mobile FROM typed""",
+        "stored_fixes": f"SELECT {_fix_columns()}, strftime(ts, '%Y-%m-%d') AS day FROM uniq",
+        "stored_fixes_of_days": f"SELECT {_fix_columns()}, strftime(ts, '%Y-%m-%d') AS day FROM uniq WHERE day(ts) IN (1, 2)",
+        "replaced_days": f"SELECT {_fix_columns()}, strftime(ts, '%Y-%m-%d') AS day FROM uniq WHERE day(ts) <> 1 OR sog > 10",
+        "stored_candidates": _candidates("cand", ", strftime(collision_ts, '%Y-%m-%d') AS day"),
+        "written_rows": "SELECT 'fixes' AS name, count(*) AS n FROM uniq UNION ALL SELECT 'candidates', count(*) FROM cand",
+        "flag_jumps": _jumps(),
+        "collapse_repeats": f"""SELECT mmsi, {_stamp('arg_min(ts, sec)')} AS ts, round(arg_min(lat, sec), 8) AS lat, round(arg_min(lon, sec), 8) AS lon,
+  round(arg_min(sog, sec), 8) AS sog, min(struct_pack(s := sec, name := name)).name AS name, count(*) AS n_reports FROM (
+    SELECT *, count(*) FILTER (coalesce(sec - s0 > 20 OR {_haversine('y0', 'x0', 'lat', 'lon', '12742000e0')} > 200, true)) OVER (PARTITION BY mmsi ORDER BY sec) AS run FROM (
+      SELECT *, lag(sec) OVER w AS s0, lag(lat) OVER w AS y0, lag(lon) OVER w AS x0 FROM ufix WINDOW w AS (PARTITION BY mmsi ORDER BY sec)))
+  GROUP BY mmsi, run""",
+        "movement_states": f"SELECT mmsi, state, {_stamp('from_ts')} AS from_ts, {_stamp('to_ts')} AS to_ts, n_fixes FROM stretches",
+        "track_endings": """SELECT event_id, role, vessel AS mmsi,
+  CASE WHEN max(to_ts) FILTER (from_ts <= ends) IS NULL OR ends - arg_max(to_ts, (from_ts, to_ts)) FILTER (from_ts <= ends) > INTERVAL 600 SECOND THEN 'silent'
+    ELSE arg_max(state, (from_ts, to_ts)) FILTER (from_ts <= ends) END AS ending
+  FROM (SELECT *, collision_ts + INTERVAL 600 SECOND AS ends FROM roles) r LEFT JOIN stretches s ON s.mmsi = r.vessel GROUP BY event_id, role, vessel, ends""",
         "pair_observation_counts": "SELECT * FROM obs",
         "transient_pairs": "SELECT * FROM obs WHERE n_obs <= 5",
         "persistent_pairs": "SELECT * FROM obs WHERE n_obs > 5",
@@ -256,4 +298,9 @@ def _bodies() -> dict[str, str]:
 
 def oracle_sql() -> dict[str, str]:
     ctes = _ctes()
-    return {name: ctes + body for name, body in _bodies().items()}
+    return {name: _with(ctes, body) for name, body in _bodies().items()}
+
+
+def _with(ctes: str, body: str) -> str:
+    """A body that starts with a comma goes on with tables of its own, which may refer to themselves."""
+    return ctes.replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + body if body.startswith(",") else ctes + body
