@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
@@ -37,9 +38,34 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends, rows are fixed."""
+#: Tables of the enclosing ``passing`` blocks, the innermost last.
+_PASSING: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """What is materialised inside is deleted at the end; only what says ``keep`` stays.
+
+    Nothing that is returned may still have to read the others.
+    """
+    _PASSING.append([])
+    try:
+        yield
+    finally:
+        for path in _PASSING.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends, rows are fixed.
+
+    Inside a ``passing`` block the table goes with it; with ``keep`` it belongs to the block around that, if any.
+    """
     path = scratch(df.sparkSession, name)
+    holders = _PASSING[:-1] if keep else _PASSING
+    if holders:
+        holders[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
