@@ -166,14 +166,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> list[Rule]:
     """Learn the list from ``labels`` (``doc_id``, ``quality`` 0 or 1) of ``docs``.
 
     The fit takes up to ``sample`` labelled documents, drawn by hash of ``doc_id``; labels that
-    are null are left out, and of several labels of a document the lowest counts. Without labels of
-    both kinds there are no rules.
+    are null are left out, and of several labels of a document the lowest counts, as of several rows with
+    its id the one with the least features. Without labels of both kinds there are no rules.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("id_")).agg(F.min("quality").alias("quality_"))
     known = known.withColumn("draw_", F.xxhash64("id_")).orderBy("draw_", "id_").limit(sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(F.broadcast(known), F.col("doc") == F.col("id_"))
     rows = with_counts(rows, "c").select("doc", "quality_", "draw_", *(feature(f, "c").alias(f) for f in FEATURES))
-    table = rows.limit(2 * sample).toPandas().sort_values(["draw_", "doc", *FEATURES])
+    rows = rows.groupBy("doc", "quality_", "draw_").agg(F.min(F.struct(*FEATURES)).alias("x")).select("doc", "quality_", "draw_", "x.*")
+    table = rows.toPandas().sort_values(["draw_", "doc"])
     bad = table["quality_"].to_numpy() == 0
     if bad.all() or not bad.any():
         return []
