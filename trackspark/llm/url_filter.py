@@ -93,15 +93,14 @@ def threshold(scores: DataFrame, width: float = 0.01) -> float:
 def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, order: int = 3) -> DataFrame:
     """Rows ``page_id``, ``host``, ``path``, ``rule``, ``verdict``, ``score``, one for each row of ``pages``.
 
-    Urls that a rule fits are the models' examples: of their distinct host-path texts four fifths train
+    Urls that a rule fits are the models' examples: of the distinct ones four fifths train
     the models and a fifth sets the threshold. Urls without a rule are allowed from that mean log
-    ratio on; where the rules give no examples of one kind, they are all allowed. Null urls
-    and such without ``://`` have an empty host and path; repeated rows and ids stay;
-    other columns are not read.
+    ratio on; where the rules give no examples of one kind, they are all allowed. The models read whole urls, of any length.
+    Null urls and such without ``://`` have an empty host and path; null ones are judged as empty text; repeated rows and ids stay;
+    other columns are not read; an empty table gives no rows.
     """
-    p = pages.select(F.col("page_id"), host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
-    p = p.withColumn("text", F.concat("host", "path")).withColumn("by", rule_of(rules))
-    # Host and path join without a mark, so one text may come with two rules; min takes one, whichever the row order.
+    p = pages.select(F.col("page_id"), host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), F.coalesce("url", F.lit("")).alias("text"))
+    p = p.withColumn("by", rule_of(rules))
     texts = p.groupBy("text").agg(F.min("by.verdict").alias("verdict"))
     fold = F.pmod(F.xxhash64("text"), F.lit(5))
     use = F.when(F.col("verdict").isNotNull() & (fold > 0), F.col("verdict"))
