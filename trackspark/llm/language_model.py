@@ -167,26 +167,29 @@ class LogBilinear:
 
 
 class Scorer:
-    """Normalised log10 probabilities of classes; normalisers are kept by context."""
+    """Normalised log10 probabilities of classes; normalisers are kept by context.
+
+    Products are taken in doubles and a token's value is rounded to 9 decimals, since their last bits depend on what
+    else is in a block: equal texts have equal scores.
+    """
 
     def __init__(self, model: LogBilinear) -> None:
-        self.m = model
-        self.log_z = np.full((len(model.b) + 1, len(model.b) + 1), np.nan, np.float32)
+        self.q, self.c, self.b = (x.astype(np.float64) for x in (model.q, model.c, model.b))
+        self.log_z = np.full((len(model.b) + 1, len(model.b) + 1), np.nan)
 
     def __call__(self, before: np.ndarray, before2: np.ndarray, w: np.ndarray) -> np.ndarray:
-        m = self.m
         new = np.isnan(self.log_z[before, before2])
         todo = np.unique(before[new].astype(np.int64) * self.log_z.shape[1] + before2[new])
         for at in range(0, len(todo), 4096):
             a, b = np.divmod(todo[at : at + 4096], self.log_z.shape[1])
-            s = (m.c[0, a] + m.c[1, b]) @ m.q.T + m.b
+            s = (self.c[0, a] + self.c[1, b]) @ self.q.T + self.b
             top = s.max(1)
             self.log_z[a, b] = top + np.log(np.exp(s - top[:, None]).sum(1))
         out = np.empty(len(w))
         for at in range(0, len(w), 1 << 17):
             p = slice(at, at + (1 << 17))
-            out[p] = np.einsum("ij,ij->i", m.c[0, before[p]] + m.c[1, before2[p]], m.q[w[p]]) + m.b[w[p]] - self.log_z[before[p], before2[p]]
-        return out / math.log(10)
+            out[p] = np.einsum("ij,ij->i", self.c[0, before[p]] + self.c[1, before2[p]], self.q[w[p]]) + self.b[w[p]] - self.log_z[before[p], before2[p]]
+        return np.round(out / math.log(10), 9)
 
 
 class Encoder:
