@@ -29,14 +29,16 @@ class PieceEncoder:
     are not white space, so the ids of a text are the ids of its pieces one after another.
     Unknown pieces are encoded in one call, glued together, and cut where a token begins
     with a space. New pieces are held until there are ``most`` of them; those wanted again meanwhile
-    are kept on, up to twice as many, the others forgotten. Texts with other runs of spaces are cut only where that rule holds.
+    are kept on, up to twice as many, the others forgotten. Texts with other runs of spaces are cut only where that rule holds, texts
+    with a token that was added to the vocabulary (an end mark, say) nowhere.
     """
 
     def __init__(self, path: str, most: int = 200_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Texts that hold one of these are encoded whole.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocab = self.tokenizer.get_vocab()
         self.starts = np.zeros(max(vocab.values()) + 1, bool)
         self.starts[[i for t, i in vocab.items() if t[0] == "Ġ"]] = True
@@ -44,6 +46,7 @@ class PieceEncoder:
         self.recent: dict[str, bytes] = {}
         self.again: set[str] = set()
         self.tails: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
         self.most, self.held = most, 0
 
     def _known(self, wanted: list[str]) -> dict[str, bytes]:
@@ -106,15 +109,23 @@ class PieceEncoder:
         unsafe = np.array([not w or w[0].isspace() or w[-1].isspace() for w in words])
         bad = unsafe[piece]
         bad[first] = [w[-1:].isspace() for w in heads]
-        odd = np.logical_or.reduceat(bad, first) & ~alone
-        inner = np.ones(len(piece), bool)
+        whole = np.zeros(len(texts), bool)
+        for token in self.added:
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        odd = (np.logical_or.reduceat(bad, first) | whole) & ~alone
+        inner = ~np.repeat(whole, np.diff(lists.offsets.to_numpy()))
         inner[first] = False
         used = np.bincount(piece[inner], minlength=n).astype(bool) & ~unsafe
         known = self._known([words[i] for i in np.flatnonzero(used).tolist()])
         entries = [known.get(w, b"") for w in words]
-        entries += [b"" if o else x for o, x in zip(odd.tolist(), self._whole(heads))]
+        if len(self.heads) > self.most:
+            self.heads.clear()
+        new = [h for h in dict.fromkeys(heads) if h not in self.heads]
+        self.heads.update(zip(new, self._whole(new)))
+        entries += [self.heads[h] for h in heads]
         for k in np.flatnonzero(odd).tolist():
-            entries[n + k] = b"".join(self._whole(_CUT.split(texts[k].as_py())))
+            text = texts[k].as_py()
+            entries[n + k] = b"".join(self._whole([text] if whole[k] else _CUT.split(text)))
         piece[np.repeat(odd, np.diff(lists.offsets.to_numpy()))] = n + len(heads)
         piece[first] = n + np.arange(len(heads))
         size = np.fromiter((len(x) // 4 for x in entries), np.int64, len(entries))
