@@ -283,6 +283,10 @@ def test_url_filter(spark):
     got = url_filter.judge(df).collect()
     assert len(got) == df.count()
     by = {r.page_id: r for r in got}
+    asked = [(k, f"http://site{k}.com/x?{'free=nice' if k % 2 else 'play=casino'}{k}", "x") for k in (901, 902)]
+    told = [(300 + k, f"http://w{k}.{'org/fr/' if k % 2 else 'net/'}?{'free=nice' if k % 2 else 'play=casino'}{k}", "x") for k in range(200)]
+    verdicts = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(asked + told, "page_id long, url string, score string")).collect()}
+    assert (verdicts[901], verdicts[902]) == ("allow", "block")  # they differ after the question mark only
     for k, (_, host, path, rule, verdict) in enumerate(URLS):
         assert (by[k].host, by[k].path, by[k].rule) == (host, path, rule) and by[k].verdict in ({verdict} if verdict else {"allow", "block"})
     assert (by[900].verdict, by[901].verdict) == ("allow", "block")
@@ -362,7 +366,7 @@ def test_token_ids(spark, docs, texts, empty):
 
     name = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(name)
-    tokenizer.encode_special_tokens = True
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame([(5000, "see <|endoftext|> here"), (5001, "<|endoftext|>"), (5002, "a<|endoftext|>b  <|endoftext|> c")], "doc_id long, text string"))
     for encoding in ("delta", "dictionary"):
         path = shared.scratch(spark, "test-ids")
         token_ids.write(token_ids.encode(docs, name), path, encoding=encoding)
@@ -391,3 +395,34 @@ def test_pieces_are_encoded_like_whole_texts():
         sizes, ids = encoder.encode(pa.array(some[at : at + 300]))
         for text, got in zip(some[at : at + 300], np.split(ids, np.cumsum(sizes)[:-1])):
             assert got.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_quality_fit_takes_one_row_of_each_id(spark):
+    rng = random.Random(6)
+    rows = [(k, " ".join(rng.choices(["aa", "bb", "cc", "dd"] if k % 2 else ["x!", "y!", "z!"], k=60 + k % 7))) for k in range(300)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k in range(300)], "doc_id long, quality int")
+    once = quality_rules.fit(docs, labels, sample=100)
+    again = quality_rules.fit(docs.union(docs).union(docs).repartition(5), labels.union(labels), sample=100)
+    assert once and list(map(str, once)) == list(map(str, again))
+
+
+def test_packing_against_plain_best_fit():
+    rng = random.Random(9)
+    for _ in range(200):
+        capacity, per_source = rng.choice([10, 50, 100]), rng.choice([1, 2, 4])
+        items = [(rng.randrange(0, capacity + 1), rng.choice("abc"), rng.choice([None, *range(12)])) for _ in range(rng.randrange(1, 80))]
+        items.sort(key=lambda t: -t[0])
+        bins, want = [], []
+        for size, source, cluster in items:
+            fits = [
+                (capacity - sum(x[0] for x in held), k) for k, held in enumerate(bins)
+                if sum(x[0] for x in held) + size <= capacity and sum(x[1] == source for x in held) < per_source and (cluster is None or all(x[2] != cluster for x in held))
+            ]
+            if fits:
+                k = min(fits)[1]
+            else:
+                k = len(bins)
+                bins.append([])
+            want.append((k, sum(x[0] for x in bins[k])))
+            bins[k].append((size, source, cluster))
+        assert packing.best_fit(items, capacity, per_source) == want
