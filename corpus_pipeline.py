@@ -55,7 +55,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         mixed = mixing.mix(shared.materialise(mixing.sizes(docs, row), "sizes"))
         taken = mixed.select(F.col("doc_id").alias(row), times.alias(copy)).where(F.col(copy) > 0)
         taken = shared.materialise(taken, "taken", keep=True)
-    out = docs.join(taken, row).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy))))
+    # Shuffled at every size: the taken documents grow with the table.
+    out = docs.join(taken.hint("merge"), row).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy))))
     return out.select(*(f"`{c}`" for c in docs.columns if c != row))
 
 
