@@ -49,17 +49,13 @@ class PieceEncoder:
         self.heads: dict[str, bytes] = {}
         self.most, self.held = most, 0
 
-    def _known(self, wanted: list[str]) -> dict[str, bytes]:
-        """The ids of each piece."""
-        out, new, seen = {}, [], []
-        for w in wanted:
-            if (ids := self.kept.get(w)) is None:
-                if (ids := self.recent.get(w)) is None:
-                    new.append(w)
-                    continue
-                seen.append(w)
-            out[w] = ids
-        self.again.update(seen)
+    def _known(self, wanted: list[str]) -> list[bytes]:
+        """The ids of each piece; pieces are different."""
+        got = list(map(self.kept.get, wanted))
+        left = [w for w, x in zip(wanted, got) if x is None]
+        more = list(map(self.recent.get, left))
+        self.again.update(w for w, x in zip(left, more) if x is not None)
+        new = [w for w, x in zip(left, more) if x is None]
         self.held += sum(map(len, new))
         # Of a word with marks the word may be known, and the marks mostly are.
         marked = [(w, core, w[len(core) :]) for w in new if (core := w.rstrip(_MARKS)) != w and core[-1:].isalpha()]
@@ -70,6 +66,9 @@ class PieceEncoder:
             if (ids := self.tails.get(tail)) is None:
                 ids = self.tails[tail] = self._whole([tail])[0]
             found[w] = (self.kept.get(core) or self.recent[core]) + ids
+        told = map(found.__getitem__, new)
+        late = (next(told) if x is None else x for x in more)
+        out = [next(late) if x is None else x for x in got]
         if len(self.recent) > self.most or self.held > 40 * self.most:
             if len(self.kept) + len(self.again) > 2 * self.most:
                 self.kept.clear()
@@ -78,7 +77,6 @@ class PieceEncoder:
             self.again.clear()
             self.tails.clear()
             self.held = 0
-        out.update(found)
         return out
 
     def _learn(self, new: list[str]) -> dict[str, bytes]:
@@ -106,7 +104,8 @@ class PieceEncoder:
         heads = [words[p] for p in piece[first].tolist()]
         alone = np.diff(lists.offsets.to_numpy()) == 1
         # White space beside a space shows as an empty piece or at the end of one.
-        unsafe = np.array([not w or w[0].isspace() or w[-1].isspace() for w in words])
+        bare = pc.utf8_trim_whitespace(coded.dictionary)
+        unsafe = pc.or_(pc.equal(bare, ""), pc.not_equal(bare, coded.dictionary)).to_numpy(zero_copy_only=False)
         bad = unsafe[piece]
         bad[first] = [w[-1:].isspace() for w in heads]
         whole = np.zeros(len(texts), bool)
@@ -116,8 +115,10 @@ class PieceEncoder:
         inner = ~np.repeat(whole, np.diff(lists.offsets.to_numpy()))
         inner[first] = False
         used = np.bincount(piece[inner], minlength=n).astype(bool) & ~unsafe
-        known = self._known([words[i] for i in np.flatnonzero(used).tolist()])
-        entries = [known.get(w, b"") for w in words]
+        at = np.flatnonzero(used)
+        table = np.full(n, b"", object)
+        table[at] = self._known([words[i] for i in at.tolist()])
+        entries = table.tolist()
         if len(self.heads) > self.most:
             self.heads.clear()
         new = [h for h in dict.fromkeys(heads) if h not in self.heads]
@@ -128,7 +129,7 @@ class PieceEncoder:
             entries[n + k] = b"".join(self._whole([text] if whole[k] else _CUT.split(text)))
         piece[np.repeat(odd, np.diff(lists.offsets.to_numpy()))] = n + len(heads)
         piece[first] = n + np.arange(len(heads))
-        size = np.fromiter((len(x) // 4 for x in entries), np.int64, len(entries))
+        size = np.fromiter(map(len, entries), np.int64, len(entries)) // 4
         start, size = np.append(np.cumsum(size) - size, 0), np.append(size, 0)
         took = size[piece]
         ends = np.cumsum(took)
