@@ -76,3 +76,17 @@ def mid_longitude(a: Column, b: Column) -> Column:
     """The longitude midway between two, the short way round."""
     mean = (a + b) / 2
     return F.when(F.abs(a - b) <= 180, mean).otherwise(F.when(mean < 0, mean + 180).otherwise(mean - 180))
+
+
+def curve_key(lat: Column, lon: Column) -> Column:
+    """Place of a coordinate on a Z-order curve over the globe, in 2^16 steps either way: near points have mostly near keys."""
+    def spread(deg: Column, span: float) -> Column:
+        # The step's bits, with a free place after each.
+        bits = F.greatest(F.lit(0), F.least(F.lit(65535), F.floor((deg + span / 2) * (65536 / span)))).cast("long")
+        for shift, kept in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+            bits = bits.bitwiseOR(F.shiftleft(bits, shift)).bitwiseAND(F.lit(kept).cast("long"))
+        return bits
+
+    # Each side is null for a missing coordinate, which least and greatest would skip.
+    key = F.shiftleft(spread(lat, 180.0), 1).bitwiseOR(spread(lon, 360.0))
+    return F.when(lat.isNotNull() & lon.isNotNull(), key)

@@ -28,7 +28,8 @@ from trackspark.params import EARTH_RADIUS_M, ProximityParams
 from trackspark.schemas import CANDIDATE_SCHEMA
 
 _CARRIED = ("mmsi", "ts", "lat", "lon", "sog", "name")
-_KEY = ("bucket", "band", "col")
+#: The join key: equal in a fix and in the copies that reach its cell.
+CELL_KEY = ("bucket", "band", "col")
 #: Up to this many crowded cells go to all tasks; more of them are joined by shuffle.
 BROADCAST_CELLS = 100_000
 
@@ -70,7 +71,8 @@ def _bucket(sec: str, p: ProximityParams) -> str:
     return f"coalesce(floor({sec} / {p.bucket_s}), 0L)"
 
 
-def _keyed(fixes: DataFrame, p: ProximityParams) -> DataFrame:
+def join_cells(fixes: DataFrame, p: ProximityParams = ProximityParams()) -> DataFrame:
+    """The fixes that may be in a pair, with the join key: what :func:`pairs_of_cells` reads."""
     # All conditions that joins would infer stand here, so that what reads it keeps one plan.
     moving = fixes.filter(f"sog >= {_number(p.min_sog)} AND ts IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL")
     keyed = moving.selectExpr(*_CARRIED, "coalesce(unix_timestamp(ts), 0L) AS sec", f"{_band('lat', p)} AS band")
@@ -112,14 +114,14 @@ def _crowded(keyed: DataFrame, fixes: DataFrame, p: ProximityParams) -> DataFram
     tasks, which the limit tells Spark. Where the size estimate leaves that open they are counted first.
     """
     # Counting a column of the rows keeps their plan, so that its shuffle is reused.
-    cells = keyed.groupBy(*_KEY).agg(F.expr("count(sec) AS n")).filter(f"n > {p.crowd}")
-    cells = cells.selectExpr(*_KEY, f"cast(ceil(n / {p.crowd}) AS int) AS parts")
+    cells = keyed.groupBy(*CELL_KEY).agg(F.expr("count(sec) AS n")).filter(f"n > {p.crowd}")
+    cells = cells.selectExpr(*CELL_KEY, f"cast(ceil(n / {p.crowd}) AS int) AS parts")
     # A fix takes a byte at least, however the table is stored.
     bytes_ = int(str(fixes._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if bytes_ >= p.crowd * BROADCAST_CELLS and cells.limit(BROADCAST_CELLS + 1).count() > BROADCAST_CELLS:
         return cells
     # In a fixed order, so that both uses agree even if the estimate was wrong.
-    return F.broadcast(cells.orderBy(F.desc("parts"), *_KEY).limit(BROADCAST_CELLS))
+    return F.broadcast(cells.orderBy(F.desc("parts"), *CELL_KEY).limit(BROADCAST_CELLS))
 
 
 def _within(p: ProximityParams) -> str:
@@ -150,7 +152,7 @@ def _sides(here: DataFrame, there: DataFrame, cell: Sequence[str], carried: Sequ
 def _meet_directly(keyed: DataFrame, crowded: DataFrame, p: ProximityParams) -> DataFrame:
     """Pairs of fixes that meet in the cells that are not crowded."""
     here, there, same = _sides(
-        keyed.join(crowded, [*_KEY], "left_anti"), _reaching(keyed, p).join(crowded, [*_KEY], "left_anti"), _KEY, (*_CARRIED, "sec")
+        keyed.join(crowded, [*CELL_KEY], "left_anti"), _reaching(keyed, p).join(crowded, [*CELL_KEY], "left_anti"), CELL_KEY, (*_CARRIED, "sec")
     )
     # In its own cell two rows meet twice, elsewhere once and in either order.
     other = "CASE WHEN home THEN a_mmsi < b_mmsi ELSE a_mmsi <> b_mmsi END"
@@ -165,7 +167,7 @@ _WAY = ("home", "seen_lon")
 def _in_crowded(keyed: DataFrame, crowded: DataFrame, p: ProximityParams) -> tuple[DataFrame, DataFrame]:
     """The fixes in crowded cells, and the copies of fixes that reach them."""
     at = keyed.selectExpr("*", "bucket AS at_bucket")
-    return at.join(crowded, [*_KEY]), _reaching(at, p).join(crowded, [*_KEY])
+    return at.join(crowded, [*CELL_KEY]), _reaching(at, p).join(crowded, [*CELL_KEY])
 
 
 def _near_positions(here: DataFrame, there: DataFrame, p: ProximityParams) -> DataFrame:
@@ -173,15 +175,15 @@ def _near_positions(here: DataFrame, there: DataFrame, p: ProximityParams) -> Da
 
     A position is one row per time bucket and cell however many vessels report it.
     """
-    here = here.groupBy(*_KEY, *_PLACE).agg(F.expr("max(parts) AS parts"))
+    here = here.groupBy(*CELL_KEY, *_PLACE).agg(F.expr("max(parts) AS parts"))
     here = here.selectExpr("*", "cast(pmod(xxhash64(lat, lon), parts) AS int) AS part")
-    there = there.groupBy(*_KEY, *_PLACE, *_WAY, "lon_reach").agg(F.expr("max(parts) AS parts"))
+    there = there.groupBy(*CELL_KEY, *_PLACE, *_WAY, "lon_reach").agg(F.expr("max(parts) AS parts"))
     there = there.selectExpr("*", "explode(sequence(0, parts - 1)) AS part")
-    here, there, same = _sides(here, there, (*_KEY, "part"), _PLACE)
+    here, there, same = _sides(here, there, (*CELL_KEY, "part"), _PLACE)
     once = "(NOT home OR struct(a_lat AS lat, a_lon AS lon) < struct(b_lat AS lat, b_lon AS lon))"
     near = here.join(there, F.expr(f"{same} AND {once} AND {_within(p)}"), "inner")
     places = [f"{side}_{c} AS {side}_near_{c}" for side in "ab" for c in _PLACE]
-    return near.selectExpr(*[f"{k} AS near_{k}" for k in _KEY], "home AS near_home", "b_seen_lon AS near_seen_lon", *places)
+    return near.selectExpr(*[f"{k} AS near_{k}" for k in CELL_KEY], "home AS near_home", "b_seen_lon AS near_seen_lon", *places)
 
 
 def _meet_by_position(keyed: DataFrame, crowded: DataFrame, p: ProximityParams) -> DataFrame:
@@ -194,7 +196,7 @@ def _meet_by_position(keyed: DataFrame, crowded: DataFrame, p: ProximityParams)
     near = _near_positions(here, there, p)
 
     def members(rows: DataFrame, side: str, more: Sequence[str]) -> tuple[DataFrame, str]:
-        named = {**{k: f"near_{k}" for k in (*_KEY, *more)}, **{c: f"{side}_near_{c}" for c in _PLACE}}
+        named = {**{k: f"near_{k}" for k in (*CELL_KEY, *more)}, **{c: f"{side}_near_{c}" for c in _PLACE}}
         rows = rows.selectExpr(*[f"{c} AS {side}_{c}" for c in (*_CARRIED, "sec")], *[f"{c} AS {side}_by_{c}" for c in named])
         return rows, " AND ".join(f"{side}_by_{c} = {n}" for c, n in named.items())
 
@@ -232,7 +234,19 @@ def proximity_pairs(fixes: DataFrame, p: ProximityParams = ProximityParams()) ->
     Fixes meet in their cells; in cells of more than ``crowd`` fixes positions do first, so vessels
     piled up on one identical position are never compared with each other, and the cell is split among tasks.
     """
-    keyed = _keyed(fixes, p)
+    return _pairs(join_cells(fixes, p), fixes, p)
+
+
+def pairs_of_cells(keyed: DataFrame, p: ProximityParams = ProximityParams()) -> DataFrame:
+    """As :func:`proximity_pairs`, from rows of :func:`join_cells` with the same parameters.
+
+    Where these are stored in buckets of the join key (``stores.write_cells``), only the copies that
+    reach cells are shuffled, and no shuffle is needed to count the cells.
+    """
+    return _pairs(keyed, keyed, p)
+
+
+def _pairs(keyed: DataFrame, fixes: DataFrame, p: ProximityParams) -> DataFrame:
     crowded = _crowded(keyed, fixes, p)
     met = _meet_directly(keyed, crowded, p).select(*_MET)
     return _as_candidates(met.union(_meet_by_position(keyed, crowded, p)))

@@ -409,6 +409,25 @@ def stored_fixes_of_days(spark, d):
     return stores.read_fixes(spark, _stored_fixes(spark, d), days=["2021-12-01", "2021-12-02"])
 
 
+#: South, west, north, east of a box that holds a part of the test tracks.
+BOX = (54.753, 13.4515, 54.8, 13.454)
+
+
+@query
+def clustered_box(spark, d):
+    root = folders.new_folder(spark, "clustered")
+    stores.write_clustered(cleaned_unique(spark, d), root)
+    return stores.read_box(spark, root, *BOX)
+
+
+@query
+def pairs_of_stored_cells(spark, d):
+    root = folders.new_folder(spark, "cells")
+    table = root.rsplit("/", 1)[-1].replace("-", "_")
+    stores.write_cells(proximity.join_cells(derived.unique_fixes(spark, d)), table, root, 16)
+    return proximity.pairs_of_cells(stores.attach_cells(spark, table, root, 16))
+
+
 @query
 def replaced_days(spark, d):
     """A store whose days are written again one after another, once with less."""

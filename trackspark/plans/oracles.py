@@ -241,6 +241,9 @@ def _bodies() -> dict[str, str]:
   round(heading_no, 8) AS Heading, Type_of_mobile FROM typed""",
         "stored_fixes": f"SELECT {_fix_columns()}, strftime(ts, '%Y-%m-%d') AS day FROM uniq",
         "stored_fixes_of_days": f"SELECT {_fix_columns()}, strftime(ts, '%Y-%m-%d') AS day FROM uniq WHERE day(ts) IN (1, 2)",
+        "clustered_box": f"""SELECT {_fix_columns()}, strftime(ts, '%Y-%m-%d') AS day FROM uniq
+  WHERE lat BETWEEN 54.753e0 AND 54.8e0 AND lon BETWEEN 13.4515e0 AND 13.454e0""",
+        "pairs_of_stored_cells": _candidates("close"),
         "replaced_days": f"SELECT {_fix_columns()}, strftime(ts, '%Y-%m-%d') AS day FROM uniq WHERE day(ts) <> 1 OR sog > 10",
         "stored_candidates": _candidates("cand", ", strftime(collision_ts, '%Y-%m-%d') AS day"),
         "written_rows": "SELECT 'fixes' AS name, count(*) AS n FROM uniq UNION ALL SELECT 'candidates', count(*) FROM cand",

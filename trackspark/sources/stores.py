@@ -1,4 +1,4 @@
-"""Tables between the steps: Parquet by day, and the JSON result."""
+"""Tables between the steps: Parquet by day, along a curve or in buckets of the join key, and the JSON result."""
 
 from __future__ import annotations
 
@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trackspark.functions import geo
 from trackspark.operators.events import json_fields
+from trackspark.operators.proximity import CELL_KEY
 from trackspark.schemas import CANDIDATE_SCHEMA, EVENT_SCHEMA, FIX_SCHEMA, PAIR_DAY_SCHEMA, TRAJECTORY_SCHEMA
 
 
@@ -62,6 +64,50 @@ def read_candidates(spark: SparkSession, root: str, days: Sequence[str] | None =
     return _read_by_day(spark, root, CANDIDATE_SCHEMA, days)
 
 
+def write_clustered(fixes: DataFrame, root: str, group_bytes: int = 16 << 20) -> None:
+    """Writes fixes by day, in each day along a curve through their positions, in row groups of about ``group_bytes``.
+
+    A row group then covers a small area, so a box reads few of them. Ranges end on time and vessel too,
+    so that a position that holds much of the data is split over tasks. Overwrites the store.
+    """
+    (
+        fixes.withColumns({"day": F.to_date("ts"), "curve": geo.curve_key(F.col("lat"), F.col("lon"))})
+        .repartitionByRange("day", "curve", "ts", "mmsi")
+        .sortWithinPartitions("day", "curve", "ts", "mmsi")
+        .drop("curve")
+        .write.mode("overwrite")
+        .option("parquet.block.size", group_bytes)
+        .partitionBy("day")
+        .parquet(root)
+    )
+
+
+def read_box(
+    spark: SparkSession, root: str, south: float, west: float, north: float, east: float, days: Sequence[str] | None = None
+) -> DataFrame:
+    """Stored fixes in a box, its edges included; ``west`` above ``east`` is a box across +-180 degrees."""
+    lon = F.col("lon")
+    wide = lon.between(west, east) if west <= east else (lon >= west) | (lon <= east)
+    return read_fixes(spark, root, days).filter(F.col("lat").between(south, north) & wide)
+
+
+def write_cells(keyed: DataFrame, table: str, root: str, buckets: int) -> None:
+    """Writes rows of ``proximity.join_cells`` as the catalog's ``table`` at ``root``, in buckets of the join key."""
+    (
+        keyed.repartition(buckets, *CELL_KEY)  # One file a bucket.
+        .write.mode("overwrite").format("parquet").bucketBy(buckets, *CELL_KEY).option("path", root).saveAsTable(table)
+    )
+
+
+def attach_cells(spark: SparkSession, table: str, root: str, buckets: int) -> DataFrame:
+    """The stored cells; a catalog that does not know them (another session's) is told, as only it knows of buckets."""
+    if not spark.catalog.tableExists(table):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(root).schema)
+        place = root.replace("\\", "\\\\").replace("'", "\\'")
+        spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY ({', '.join(CELL_KEY)}) INTO {int(buckets)} BUCKETS LOCATION '{place}'")
+    return spark.table(table)
+
+
 def write_pair_days(pairs: DataFrame, root: str, replace: str = "all") -> None:
     """Writes rows of ``PAIR_DAY_SCHEMA`` with their ``day``; ``replace`` as for :func:`write_by_day`."""
     _write_days(pairs, root, replace)
