@@ -213,6 +213,16 @@ def test_language_model(spark, docs, empty):
     assert language_model.score(empty).count() == 0
 
 
+def test_language_model_does_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = docs.union(docs.limit(1).crossJoin(spark.range(50).select("id")).selectExpr("100000 + id", "text", "lang", "source", "n_chars"))
+    runs = []
+    for parts in (1, 5, 7):
+        out = language_model.score(docs.repartition(parts, F.rand(parts)), k=100, shard_tokens=4_000).select("doc_id", "score").collect()
+        runs.append(np.array([r.score for r in sorted(out, key=lambda r: r.doc_id)]))
+    assert len(runs[0]) == docs.count() and all(np.allclose(runs[0], x, rtol=1e-7) for x in runs[1:])
+
+
 def test_language_model_is_normalised_and_learns_contexts():
     rng = np.random.default_rng(3)
     model = language_model.LogBilinear(np.full(12, 1 / 12), 16, 1)
@@ -229,7 +239,7 @@ def test_language_model_is_normalised_and_learns_contexts():
 def test_language_model_beats_the_base_on_held_out_texts(spark):
     out = language_model.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out")
     better, base = out.agg(F.sum("score"), F.sum("base_score")).first()
-    assert better > 0.98 * base
+    assert better > 0.97 * base  # measured: 3.5% fewer bits than the counts alone
 
 
 def test_quality_counts(docs, texts, empty):

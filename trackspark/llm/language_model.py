@@ -19,7 +19,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,11 +125,13 @@ class LogBilinear:
         self.squares = [np.full(x.shape, 1e-6, np.float32) for x in (self.q, self.c, self.b)]
 
     def vector(self) -> np.ndarray:
-        return np.concatenate([self.q.ravel(), self.c.ravel(), self.b])
+        """Everything that training changes, one after another."""
+        return np.concatenate([x.ravel() for x in (self.q, self.c, self.b, *self.squares)])
 
     def load(self, v: np.ndarray) -> LogBilinear:
-        a, b = self.q.size, self.q.size + self.c.size
-        self.q, self.c, self.b = v[:a].reshape(self.q.shape), v[a:b].reshape(self.c.shape), v[b:]
+        held = (self.q, self.c, self.b, *self.squares)
+        parts = np.split(v.astype(np.float32), np.cumsum([x.size for x in held])[:-1])
+        self.q, self.c, self.b, *self.squares = (part.reshape(x.shape).copy() for part, x in zip(parts, held))
         return self
 
     def train(self, before: np.ndarray, before2: np.ndarray, w: np.ndarray, rng: np.random.Generator, rate: float, k: int = 64) -> None:
@@ -237,56 +238,103 @@ def _contexts(classes: list[np.ndarray], end: int, start: int) -> tuple[np.ndarr
     return np.concatenate(a), np.concatenate(b), np.concatenate(w)
 
 
-def train(texts: DataFrame, vocab: Vocabulary, dims: int = 16, batch: int = 2048, rate: float = 0.1, seed: int = 1) -> LogBilinear:
-    """Train on every token of ``texts``: each task on its own rows from one start, then their mean by tokens.
+#: Tokens, in whole texts, that are shuffled together before they are learned from.
+CHUNK = 1 << 18
 
-    A task returns one row of parameters of a fixed size; 16 tasks average these before the driver reads 16 rows.
+
+def train(
+    docs: DataFrame, vocab: Vocabulary, tokens: int, dims: int = 16, rounds: int = 3, shard_tokens: int = 500_000,
+    batch: int = 2048, rate: float = 0.1, seed: int = 1,
+) -> LogBilinear:
+    """Train on every token of ``docs`` (``doc_id``, ``text``; about ``tokens``) once, in ``rounds``.
+
+    A hash of id and text deals the rows to rounds and shards of about ``shard_tokens`` and orders them there, so
+    that neither partitions nor the order of rows matter; the id is in it so that copies of a text spread.
+    In a round each shard goes on from the same parameters; their mean by tokens is where the next begins.
+    A shard returns one row of parameters of a fixed size; 16 tasks average these before the driver reads 16 rows.
     """
-    spark = texts.sparkSession
+    spark = docs.sparkSession
+    shards = max(1, -(-tokens // (rounds * shard_tokens)))
     key, sent = uuid.uuid4().hex, spark.sparkContext.broadcast(vocab)
-    start = LogBilinear(vocab.noise(), dims, seed)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _unpacked(key, lambda: Encoder(sent.value))
-        model, n = LogBilinear(start.noise, dims, seed), 0
-        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
-        for b in batches:
-            for part in shared.pieces(b, 0, 4 << 20):
-                classes = [coder.classes_of(_words(t))[1] for t in part.column(0).cast(pa.binary()).to_pylist()]
-                a, a2, w = _contexts(classes, coder.v.k, coder.v.classes)
+    model = LogBilinear(vocab.noise(), dims, seed)
+    dealt = docs.select("text", F.xxhash64(F.lit(seed), "doc_id", "text").alias("draw"))
+    dealt = dealt.select("text", "draw", F.pmod("draw", F.lit(rounds)).alias("round"), F.pmod(F.xxhash64("draw"), F.lit(shards)).cast("int").alias("shard"))
+    kind = "shard int, n double, v binary"
+
+    def row(shard: int, n: float, v: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([n]), pa.array([v.astype(np.float32).tobytes()], pa.binary())], ["shard", "n", "v"])
+
+    def one_round(k: int, start: LogBilinear) -> np.ndarray | None:
+        begin = spark.sparkContext.broadcast(start.vector())
+        noise = start.noise
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            coder = _unpacked(key, lambda: Encoder(sent.value))
+            shard, own, rng, n, held, size = None, None, None, 0, [], 0
+
+            def learn() -> None:
+                nonlocal n, size
+                if not held:
+                    return
+                a, a2, w = _contexts(held, coder.v.k, coder.v.classes)
                 order = rng.permutation(len(w))
                 for at in range(0, len(w), batch):
                     p = order[at : at + batch]
-                    model.train(a[p], a2[p], w[p], rng, rate)
+                    own.train(a[p], a2[p], w[p], rng, rate)
                 n += len(w)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([float(n)]), pa.array([model.vector().tobytes()], pa.binary())], ["n", "v"])
-
-    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = None, 0.0
-        for b in batches:
-            for weight, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                add = np.frombuffer(v, np.float32).astype(np.float64) * weight
-                total, n = add if total is None else total + add, n + weight
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], ["n", "v"])
-
-    kind = "n double, v binary"
-    rows = texts.select("text").mapInArrow(run, kind).repartition(16).mapInArrow(mean, kind).collect()
-    if not rows:
-        return start
-    n = np.array([r["n"] for r in rows])
-    return start.load((np.stack([np.frombuffer(r["v"], np.float32) for r in rows]) * (n / n.sum())[:, None]).sum(0).astype(np.float32))
-
-
-def score(docs: DataFrame, k: int = 895, table: int = 131_072, dims: int = 16) -> DataFrame:
+                size = 0
+                held.clear()
+
+            for b in batches:
+                for part in shared.pieces(b, 0, 4 << 20):
+                    for text, at in zip(part.column(0).cast(pa.binary()).to_pylist(), part.column(1).to_pylist()):
+                        if at != shard:
+                            learn()
+                            if n:
+                                yield row(shard, float(n), own.vector())
+                            shard, n = at, 0
+                            own, rng = LogBilinear(noise, dims, seed).load(begin.value), np.random.default_rng([seed, k, at])
+                        held.append(coder.classes_of(_words(text))[1])
+                        size += len(held[-1]) + 1
+                        if size >= CHUNK:
+                            learn()
+            learn()
+            if n:
+                yield row(shard, float(n), own.vector())
+
+        def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, n, first = None, 0.0, 0
+            for b in batches:
+                for shard, weight, v in zip(*(c.to_pylist() for c in b.columns)):
+                    add = np.frombuffer(v, np.float32).astype(np.float64) * weight
+                    total, n, first = (add, weight, shard) if total is None else (total + add, n + weight, first)
+            if total is not None:
+                yield row(first, n, total / n)
+
+        rows = dealt.where(F.col("round") == k).repartition(shards, "shard").sortWithinPartitions("shard", "draw", "text").select("text", "shard").mapInArrow(run, kind)
+        # Sums are taken in a fixed order, as their last bits depend on it.
+        rows = rows.repartition(16, "shard").sortWithinPartitions("shard").mapInArrow(mean, kind).collect()
+        if not rows:
+            return None
+        rows.sort(key=lambda r: r["shard"])
+        n = np.array([r["n"] for r in rows])
+        return (np.stack([np.frombuffer(r["v"], np.float32) for r in rows]) * (n / n.sum())[:, None]).sum(0)
+
+    for k in range(rounds):
+        learned = one_round(k, model)
+        if learned is not None:
+            model.load(learned)
+    return model
+
+
+def score(docs: DataFrame, k: int = 895, table: int = 131_072, dims: int = 16, rounds: int = 3, shard_tokens: int = 500_000) -> DataFrame:
     """Rows ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` for all rows.
 
     Learns from the whole texts of all documents that are not held out; null, empty and blank
     texts are their end alone; repeated rows stay and count each; other columns are not read.
     ``table`` words of up to 64 bytes with their counts go to all workers (a few MB at most); other words
     meet their counts in a join, after each document has counted its own. Without documents to learn from
-    every count is 0. An empty table gives no rows.
+    every count is 0. An empty table gives no rows. Partitions and the order of rows do not change a score beyond rounding.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id")).alias("held_out"))
@@ -294,7 +342,7 @@ def score(docs: DataFrame, k: int = 895, table: int = 131_072, dims: int = 16) -
     counts = shared.materialise(word_counts(learned), "words")
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     vocab = vocabulary(counts, k, table)
-    model = train(learned, vocab, dims)
+    model = train(learned, vocab, n, dims, rounds, shard_tokens)
     key, sent = uuid.uuid4().hex, spark.sparkContext.broadcast((vocab, model))
     kind = "doc_id long, held_out boolean, n_tokens long, n_known long, counted double, model double, rare array<string>, rare_n array<int>"
 
