@@ -349,6 +349,19 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix(mixing.sizes(empty)).count() == 0
 
 
+@pytest.mark.parametrize("shards, block", [(8, 8), (3, 5), (5, 1000)])
+def test_shards_have_equal_houses_of_the_highest_quotients(spark, shards, block):
+    told = {"a": 311.5, "b": 47.0, "c": 47.0, "d": 1009.25, "e": 0.0, "f": 3.5, None: 1650.0, "g": 2.0}
+    df = spark.createDataFrame([(s, 1, t) for s, t in told.items()], "source string, source_size long, target double")
+    got = {r.source: list(r.seats) for r in mixing.seats(df, block, shards).collect()}
+    house = math.floor(sum(told.values()) / block + 0.5)
+    quotients = sorted((-t / (2 * k - 1), s is None, s or "", k) for s, t in told.items() if t for k in range(1, house + 2))
+    for j in range(shards + 1):
+        won = collections.Counter(s if not last else None for _, last, s, _ in quotients[: j * house // shards])
+        assert {s: x[j] for s, x in got.items()} == {s: won[s] for s in told}
+        assert sum(x[j] for x in got.values()) == j * house // shards
+
+
 def test_warc(spark):
     big, other = "é" * 600, "y" * 3000
     rows = [(1, "http://a/\r\nX: y", big, 1), (2, None, big, 1), (3, "u", big, 1), (4, "u", "short", 1), (5, "u", "short", 1), (6, "u", None, 1), (7, "u", "", 1), (8, "u", "\r\n\r\nWARC/1.1\r\n" * 9000, 1), (None, "u", other, 1), (9, "u", other, 1), (9, "u", other, 1)]
