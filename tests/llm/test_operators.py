@@ -420,6 +420,47 @@ def test_pieces_are_encoded_like_whole_texts():
             assert got.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_pieces_of_known_words_are_not_encoded_again():
+    """Words that meet at a line end, or carry marks, cost what the words cost."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    import pyarrow as pa
+
+    encoder = token_ids.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    plain, asked = encoder.tokenizer, []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return plain.encode_batch_fast(texts, **options)
+
+    encoder.tokenizer = Counted()
+    words = [a + b + c for a in "bdfgk" for b in "aeiou" for c in ("rn", "st", "lly", "ß")]
+    some = [" ".join(f"{x}{mark}\n{y}" for y in words) for x, mark in zip(words, [".", "!!", "", ",", "\n", "\r"] * 20)]
+    sizes, ids = encoder.encode(pa.array(some))
+    for text, got in zip(some, np.split(ids, np.cumsum(sizes)[:-1])):
+        assert got.tolist() == plain.encode(text, add_special_tokens=False).ids, text
+    # A third of the pieces hold two line ends, which are not cut.
+    assert sum(map(len, asked)) < 0.45 * sum(map(len, some))
+
+
+def test_pieces_of_other_rules_are_cut_at_spaces_only(tmp_path):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    import pyarrow as pa
+    from tokenizers import Regex, Tokenizer, pre_tokenizers
+
+    other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rule = Regex(r" ?\p{L}+| ?[^\s\p{L}]+[\r\n]*|\s+(?!\S)|\s+")
+    other.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(rule, "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    other.save(str(tmp_path / "other.json"))
+    encoder = token_ids.PieceEncoder(str(tmp_path / "other.json"), most=20)
+    rng = random.Random(5)
+    some = ["".join(rng.choices(["ab", "Cd", " ", " ", "\n", ".", "!?", "é"], k=rng.randrange(30))) for _ in range(600)]
+    for at in range(0, 600, 60):
+        sizes, ids = encoder.encode(pa.array(some[at : at + 60]))
+        for text, got in zip(some[at : at + 60], np.split(ids, np.cumsum(sizes)[:-1])):
+            assert got.tolist() == other.encode(text, add_special_tokens=False).ids, text
+
+
 def test_quality_fit_takes_one_row_of_each_id(spark):
     rng = random.Random(6)
     rows = [(k, " ".join(rng.choices(["aa", "bb", "cc", "dd"] if k % 2 else ["x!", "y!", "z!"], k=60 + k % 7))) for k in range(300)]

@@ -15,126 +15,194 @@ from pyspark.sql import functions as F
 
 from trackspark.llm import shared
 
-#: Marks at the end of a piece. After a letter they are a token of their own, or several.
+#: A word and the marks at its end. After a letter they are a token of their own, or several.
 _MARKS = ".,!?;:%$&#*|"
+_MARKED = rf"(?s)\A(?P<core>.*[A-Za-zÀ-ÖØ-öø-ɏ])(?P<tail>[{_MARKS}]+)\z"
 #: Columns of the files.
 SCHEMA = "doc_id long, text_hash long, ids array<int>, n_tokens long"
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
+def _cut_bytes(raw: np.ndarray, ends: np.ndarray) -> pa.LargeBinaryArray:
+    """The ids ``raw`` as one binary value up to each of ``ends``."""
+    offsets = np.concatenate([[0], ends]).astype(np.int64) * 4
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+
+
+def _offsets(values: pa.LargeBinaryArray) -> np.ndarray:
+    return np.frombuffer(values.buffers()[1], np.int64, len(values) + 1)
+
+
 class PieceEncoder:
-    """Encodes texts by pieces that start at a lone space, and remembers pieces that recur.
+    """Encodes texts by pieces that start at a lone space or line end, and remembers pieces that recur.
 
     A byte-level pre-tokenizer starts a token at each space between two characters that
-    are not white space, so the ids of a text are the ids of its pieces one after another.
-    Unknown pieces are encoded in one call, glued together, and cut where a token begins
-    with a space. New pieces are held until there are ``most`` of them; those wanted again meanwhile
-    are kept on, up to twice as many, the others forgotten. Texts with other runs of spaces are cut only where that rule holds, texts
+    are not white space, so the ids of a text are the ids of its pieces one after another. With
+    GPT-2's rule, the usual one, the same holds for line ends, and for marks after a letter.
+    Pieces, with the space or line end they start with, are one Arrow array, their ids another. Unknown
+    pieces are encoded in one call, glued together, and cut where a token begins with a space
+    or line end. At twice ``most`` pieces, the half that was wanted in fewest batches is forgotten.
+    Texts with other runs of spaces are cut only where that rule holds, texts
     with a token that was added to the vocabulary (an end mark, say) nowhere.
     """
 
     def __init__(self, path: str, most: int = 200_000) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        rule = self.tokenizer.pre_tokenizer
+        self.plain = isinstance(rule, pre_tokenizers.ByteLevel) and rule.use_regex
         #: Texts that hold one of these are encoded whole.
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocab = self.tokenizer.get_vocab()
-        self.starts = np.zeros(max(vocab.values()) + 1, bool)
-        self.starts[[i for t, i in vocab.items() if t[0] == "Ġ"]] = True
-        self.kept: dict[str, bytes] = {}
-        self.recent: dict[str, bytes] = {}
-        self.again: set[str] = set()
+        self.starts = {}
+        for lead, sign in ((" ", "Ġ"), ("\n", "Ċ")):
+            self.starts[lead] = np.zeros(max(vocab.values()) + 1, bool)
+            self.starts[lead][[i for t, i in vocab.items() if t[0] == sign]] = True
+        self.pieces, self.ids = pa.array([], pa.string()), pa.array([], pa.large_binary())
+        # The batches that wanted each piece: how many (fewer as they age), and the last.
+        self.wanted, self.last, self.batch = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
         self.tails: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {}
-        self.most, self.held = most, 0
-
-    def _known(self, wanted: list[str]) -> list[bytes]:
-        """The ids of each piece; pieces are different."""
-        got = list(map(self.kept.get, wanted))
-        left = [w for w, x in zip(wanted, got) if x is None]
-        more = list(map(self.recent.get, left))
-        self.again.update(w for w, x in zip(left, more) if x is not None)
-        new = [w for w, x in zip(left, more) if x is None]
-        self.held += sum(map(len, new))
-        # Of a word with marks the word may be known, and the marks mostly are.
-        marked = [(w, core, w[len(core) :]) for w in new if (core := w.rstrip(_MARKS)) != w and core[-1:].isalpha()]
-        bare = set(new).difference(w for w, _, _ in marked).union(c for _, c, _ in marked if c not in self.kept and c not in self.recent)
-        found = self._learn(list(bare))
-        self.recent.update(found)
-        for w, core, tail in marked:
-            if (ids := self.tails.get(tail)) is None:
-                ids = self.tails[tail] = self._whole([tail])[0]
-            found[w] = (self.kept.get(core) or self.recent[core]) + ids
-        told = map(found.__getitem__, new)
-        late = (next(told) if x is None else x for x in more)
-        out = [next(late) if x is None else x for x in got]
-        if len(self.recent) > self.most or self.held > 40 * self.most:
-            if len(self.kept) + len(self.again) > 2 * self.most:
-                self.kept.clear()
-            self.kept.update((w, self.recent[w]) for w in self.again if w in self.recent and len(w) <= 100)
-            self.recent.clear()
-            self.again.clear()
-            self.tails.clear()
-            self.held = 0
-        return out
-
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        out: dict[str, bytes] = {}
+        self.most = most
+
+    def _find(self, pieces: pa.Array) -> np.ndarray:
+        """Where the ids of each piece stand; unknown pieces are learned."""
+        found = pc.index_in(pieces, value_set=self.pieces)
+        at = found.fill_null(-1).to_numpy().astype(np.int64)
+        left = np.flatnonzero(at < 0)
+        coded = pieces.take(pa.array(left)).dictionary_encode()
+        new, code = coded.dictionary, coded.indices.to_numpy()
+        # First those that start with a space, then those that start with a line end.
+        line = pc.starts_with(new, "\n").to_numpy(zero_copy_only=False)
+        order = np.argsort(line, kind="stable")
+        rank = np.empty(len(new), np.int64)
+        rank[order] = np.arange(len(new)) + len(self.pieces)
+        at[left] = rank[code]
+        new, spaced = new.take(pa.array(order)), len(new) - int(line.sum())
+        # Whole before anything is changed: a failed task leaves its worker's encoder as it was.
+        learned = [*self._learn(new[:spaced], " "), *self._learn(new[spaced:], "\n")]
+        self.pieces, self.ids = pa.concat_arrays([self.pieces, new]), pa.concat_arrays([self.ids, *learned])
+        self.batch += 1
+        self.wanted = np.append(self.wanted, np.zeros(len(new), np.int64))
+        self.last = np.append(self.last, np.zeros(len(new), np.int64))
+        self.last[at] = self.batch
+        self.wanted += self.last == self.batch
+        return at
+
+    def _learn(self, new: pa.Array, lead: str) -> Iterator[pa.Array]:
+        """The ids of pieces that start with ``lead`` and hold no other."""
         for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            first = np.flatnonzero(self.starts[ids]) * 4
-            raw = ids.tobytes()
-            if len(first) != len(some):
+            some = new[at : at + 20_000].to_pylist()
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            first = np.flatnonzero(self.starts[lead][ids])
+            if len(first) != len(some) or first[0]:
                 raise ValueError("the vocabulary does not start tokens at spaces")
-            out.update(zip(some, (raw[a:b] for a, b in zip(first.tolist(), [*first[1:].tolist(), len(raw)]))))
-        return out
+            yield _cut_bytes(ids, np.append(first[1:], len(ids)))
+
+    def _forget(self) -> None:
+        """Back to ``most`` pieces, if there are twice as many or they are long."""
+        if len(self.heads) > self.most:
+            self.heads.clear()
+        if len(self.tails) > self.most:
+            self.tails.clear()
+        if len(self.pieces) <= 2 * self.most and self.pieces.nbytes <= 80 * self.most:
+            return
+        fit = np.flatnonzero(pc.binary_length(self.pieces).to_numpy() <= 100)
+        keep = np.sort(fit[np.lexsort((-self.last[fit], -self.wanted[fit]))[: self.most]])
+        self.pieces, self.ids = self.pieces.take(pa.array(keep)), self.ids.take(pa.array(keep))
+        self.wanted, self.last = self.wanted[keep] // 2, self.last[keep]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _remembered(self, texts: list[str], memory: dict[str, bytes]) -> list[bytes]:
+        new = [t for t in dict.fromkeys(texts) if t not in memory]
+        found = dict(zip(new, self._whole(new)))
+        memory.update((t, x) for t, x in found.items() if len(t) <= 100)
+        return [found[t] if t in found else memory[t] for t in texts]
+
+    def _words(self, words: pa.Array) -> pa.LargeBinaryArray:
+        """The ids of words that follow a space; they begin and end with something else than white space."""
+        parts, ends = pc.binary_join_element_wise(" ", words, ""), np.arange(len(words) + 1)
+        if self.plain:
+            # Lines that begin or end with white space stay together.
+            lines = pc.split_pattern(words, "\n")
+            split = pc.not_equal(lines.values, pc.utf8_trim_whitespace(lines.values))
+            split = pc.or_(split, pc.equal(lines.values, "")).to_numpy(zero_copy_only=False)
+            ends = lines.offsets.to_numpy().astype(np.int64)
+            odd = np.logical_or.reduceat(split, ends[:-1])
+            several = ~odd & (np.diff(ends) > 1)
+            if several.any():
+                some = lines.filter(pa.array(several))
+                begins = np.zeros(len(some.values), bool)
+                begins[some.offsets.to_numpy()[:-1]] = True
+                some_parts = pc.binary_join_element_wise(pc.if_else(pa.array(begins), " ", "\n"), some.values, "")
+                count = np.ones(len(words), np.int64)
+                count[several] = np.diff(some.offsets.to_numpy())
+                ends = np.concatenate([[0], np.cumsum(count)])
+                at = np.repeat(np.arange(len(words)), count)
+                at[np.repeat(several, count)] = len(words) + np.arange(len(some_parts))
+                parts = pa.concat_arrays([parts, some_parts]).take(pa.array(at))
+            else:
+                ends = np.arange(len(words) + 1)
+        tail = np.zeros(len(parts), np.int64)
+        tails: list[bytes] = []
+        if self.plain:
+            marked = np.flatnonzero(pc.not_equal(parts, pc.utf8_rtrim(parts, characters=_MARKS)).to_numpy(zero_copy_only=False))
+            cut = pc.extract_regex(parts.take(pa.array(marked)), _MARKED)
+            fits = cut.is_valid().to_numpy(zero_copy_only=False)
+            marked, cut = marked[fits], cut.filter(pa.array(fits))
+            at = np.arange(len(parts))
+            at[marked] = len(parts) + np.arange(len(marked))
+            parts = pa.concat_arrays([parts, cut.field("core")]).take(pa.array(at))
+            coded = cut.field("tail").dictionary_encode()
+            tails = self._remembered(coded.dictionary.to_pylist(), self.tails)
+            tail[marked] = 1 + coded.indices.to_numpy()
+        known = self._find(parts)
+        both = np.empty(2 * len(parts), np.int64)
+        both[0::2], both[1::2] = known, len(self.ids) + tail
+        ids = pa.concat_arrays([self.ids, pa.array([b"", *tails], pa.large_binary())]).take(pa.array(both))
+        self._forget()
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(_offsets(ids)[2 * ends]), ids.buffers()[2]])
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The number of ids of each text, and all ids one after another."""
         lists = pc.split_pattern(texts, " ")
-        first = lists.offsets.to_numpy()[:-1]
+        at = lists.offsets.to_numpy()
+        first, many = at[:-1], np.diff(at)
         coded = lists.values.dictionary_encode()
-        piece, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        piece, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary
         n = len(words)
-        heads = [words[p] for p in piece[first].tolist()]
-        alone = np.diff(lists.offsets.to_numpy()) == 1
+        heads = words.take(pa.array(piece[first])).to_pylist()
         # White space beside a space shows as an empty piece or at the end of one.
-        bare = pc.utf8_trim_whitespace(coded.dictionary)
-        unsafe = pc.or_(pc.equal(bare, ""), pc.not_equal(bare, coded.dictionary)).to_numpy(zero_copy_only=False)
+        bare = pc.utf8_trim_whitespace(words)
+        unsafe = pc.or_(pc.equal(bare, ""), pc.not_equal(bare, words)).to_numpy(zero_copy_only=False)
         bad = unsafe[piece]
         bad[first] = [w[-1:].isspace() for w in heads]
         whole = np.zeros(len(texts), bool)
         for token in self.added:
             whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
-        odd = (np.logical_or.reduceat(bad, first) | whole) & ~alone
-        inner = ~np.repeat(whole, np.diff(lists.offsets.to_numpy()))
+        odd = (np.logical_or.reduceat(bad, first) | whole) & (many > 1)
+        inner = ~np.repeat(whole, many)
         inner[first] = False
-        used = np.bincount(piece[inner], minlength=n).astype(bool) & ~unsafe
-        at = np.flatnonzero(used)
-        table = np.full(n, b"", object)
-        table[at] = self._known([words[i] for i in at.tolist()])
-        entries = table.tolist()
-        if len(self.heads) > self.most:
-            self.heads.clear()
-        new = [h for h in dict.fromkeys(heads) if h not in self.heads]
-        self.heads.update(zip(new, self._whole(new)))
-        entries += [self.heads[h] for h in heads]
+        used = np.zeros(n, bool)
+        used[piece[inner]] = True
+        used = np.flatnonzero(used & ~unsafe)
+        own = self._remembered(heads, self.heads)
         for k in np.flatnonzero(odd).tolist():
             text = texts[k].as_py()
-            entries[n + k] = b"".join(self._whole([text] if whole[k] else _CUT.split(text)))
-        piece[np.repeat(odd, np.diff(lists.offsets.to_numpy()))] = n + len(heads)
-        piece[first] = n + np.arange(len(heads))
-        size = np.fromiter(map(len, entries), np.int64, len(entries)) // 4
-        start, size = np.append(np.cumsum(size) - size, 0), np.append(size, 0)
-        took = size[piece]
-        ends = np.cumsum(took)
-        ids = np.frombuffer(b"".join(entries), "<u4")[np.arange(ends[-1]) + np.repeat(start[piece] - ends + took, took)]
-        return np.add.reduceat(took, first), ids
+            own[k] = b"".join(self._whole([text] if whole[k] else _CUT.split(text)))
+        # The ids of the used words, then nothing, then those of heads and of odd texts.
+        place = np.full(n, len(used))
+        place[used] = np.arange(len(used))
+        piece = place[piece]
+        piece[np.repeat(odd, many)] = len(used)
+        piece[first] = len(used) + 1 + np.arange(len(own))
+        entries = pa.concat_arrays([self._words(words.take(pa.array(used))), pa.array([b"", *own], pa.large_binary())])
+        ids = entries.take(pa.array(piece))
+        ends = _offsets(ids)
+        return np.diff(ends[at]) // 4, np.frombuffer(ids.buffers()[2] or b"", "<u4", int(ends[-1]) // 4)
 
 
 @functools.lru_cache(maxsize=1)
