@@ -79,6 +79,10 @@ def join_cells(fixes: DataFrame, p: ProximityParams = ProximityParams()) -> Data
     return keyed.selectExpr("*", f"{_bucket('sec', p)} AS bucket", f"{_column('lon', 'band', p)} AS col")
 
 
+#: The name it had before.
+_keyed = join_cells
+
+
 def _reaching(keyed: DataFrame, p: ProximityParams) -> DataFrame:
     """The forward copies; ``home`` marks the one in the fix's own cell.
 
