@@ -362,6 +362,32 @@ def test_shards_have_equal_houses_of_the_highest_quotients(spark, shards, block)
         assert sum(x[j] for x in got.values()) == j * house // shards
 
 
+@pytest.mark.parametrize("times", [1, 9, 10_000])
+def test_blocks_times_shards_may_pass_the_integers(spark, times):
+    # From 2^31 words to take on, the house times 8 shards is no int; at nine times as many the house itself is none.
+    told = {"a": 700_000_001.5, "b": 90_000_000.25, "c": 410_000_003.0, None: 950_000_000.0, "d": 3.5, "e": 0.0}
+    told = {s: t * times for s, t in told.items()}
+    df = spark.createDataFrame([(s, 1, t) for s, t in told.items()], "source string, source_size long, target double")
+    got = {r.source: list(r.seats) for r in mixing.seats(df).collect()}
+    house = math.floor(sum(told.values()) / 8 + 0.5)
+    assert got.keys() == told.keys() and house * 8 > 2**31
+    for j in range(9):
+        assert sum(x[j] for x in got.values()) == j * house // 8
+        lost = max(told[s] / (2 * x[j] + 1) for s, x in got.items())
+        assert all(told[s] / (2 * x[j] - 1) >= lost for s, x in got.items() if x[j])
+    sizes = [(k, s, int(t / 3)) for k, (s, t) in enumerate(told.items()) for _ in range(2)]
+    rows = mixing.mix(spark.createDataFrame(sizes, "doc_id long, source string, size long")).collect()
+    words, target = 0, 0.0
+    for s in told:
+        own = [r for r in rows if r.source == s]
+        assert len(own) == 2 and all(sum(r.shard_words) == r.taken <= 2 * r.size for r in own)
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 8
+        words, target = words + sum(r.taken for r in own), target + own[0].target
+    assert words > 2**31 and math.isclose(target, 1.5 * sum(size for _, _, size in sizes), rel_tol=1e-9)
+    each = [sum(r.shard_words[j] for r in rows) for j in range(8)]
+    assert max(each) - min(each) <= 8 * len(told)
+
+
 def test_warc(spark):
     big, other = "é" * 600, "y" * 3000
     rows = [(1, "http://a/\r\nX: y", big, 1), (2, None, big, 1), (3, "u", big, 1), (4, "u", "short", 1), (5, "u", "short", 1), (6, "u", None, 1), (7, "u", "", 1), (8, "u", "\r\n\r\nWARC/1.1\r\n" * 9000, 1), (None, "u", other, 1), (9, "u", other, 1), (9, "u", other, 1)]

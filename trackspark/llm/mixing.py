@@ -64,7 +64,7 @@ def seats(sources: DataFrame, block: int = 8, shards: int = 8) -> DataFrame:
     s = sources.withColumn("last", F.col("source").isNull())
     total, n = s.agg(F.coalesce(F.sum("target"), F.lit(0.0)), F.count("*")).first()
     house = math.floor(total / block + 0.5)
-    upto = F.floor(F.col("shard") * house / shards).cast("long")
+    upto = F.floor(F.col("shard").cast("long") * house / shards).cast("long")  # a long: blocks times shards pass 2^31
     slack = n / 2 + 1  # one more than half a seat for each source: rounding of doubles decides nothing
     at = F.explode(F.sequence(F.lit(1), F.lit(shards))).alias("shard")
     rounded = lambda words: F.floor(F.col("target") * words / F.lit(total or 1.0) + 0.5).cast("long")
